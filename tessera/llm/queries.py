@@ -6,13 +6,15 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import media, packing, token_counts
+from tessera.llm import language_id, media, packing, secret_scans, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": media.op1_media_columns,
         "op4_packing": packing.op4_packing,
+        "op5_secret_scans": secret_scans.op5_secret_scans,
+        "op7_language_id": language_id.op7_language_id,
         "op8_token_counts": token_counts.op8_token_counts,
     }
 
