@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language_id, media, packing, secret_scans, token_counts
+from tessera.llm import language_id, media, packing, quality_rules, secret_scans, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -16,6 +16,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scans": secret_scans.op5_secret_scans,
         "op7_language_id": language_id.op7_language_id,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
 
