@@ -17,7 +17,6 @@ from pyspark.sql import functions as F
 
 # Fixed value: white space that separates words, [\x20\x09-\x0D].
 SPACE_CLASS = r"[\x20\x09-\x0D]"
-SPACES = " \t\n\x0b\x0c\r"
 
 
 def read_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,8 +78,23 @@ def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
 
 def words_column(text: Column) -> Column:
     """array<string>: the words [^\\x20\\x09-\\x0D]+ of a text; null gives none."""
-    bare = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
-    return F.when(bare == "", F.array().cast("array<string>")).otherwise(F.split(bare, SPACE_CLASS + "+"))
+    # array_remove is compiled; trimming by a set of characters walks the whole text.
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_CLASS + "+"), "")
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_column: str, text_column: str) -> DataFrame | None:
+    """Texts of about `rows` labelled documents: _q_id, _q_label, text; None where no label is usable.
+
+    labels has _q_id and _q_label; null ids go, and of an id's contradictory labels the lowest counts. The
+    ids are chosen by a hash. They are twice `rows` at most, so sending them to every task is safe.
+    """
+    marked = labels.where("_q_id IS NOT NULL AND _q_label IS NOT NULL").groupBy("_q_id").agg(F.min("_q_label").alias("_q_label"))
+    total = marked.count()
+    if not total:
+        return None
+    place = F.pmod(F.xxhash64("_q_id"), F.lit(1 << 30))
+    chosen = marked.where(place < int((1 << 30) * min(1.0, rows / total))).limit(2 * rows)
+    return docs.select(docs[id_column].alias("_q_id"), docs[text_column].alias("text")).join(F.broadcast(chosen), "_q_id")
 
 
 def hash_modulus(value: Column, salts: int) -> Column:

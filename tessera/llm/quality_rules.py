@@ -8,82 +8,101 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 from functools import reduce
-from operator import and_
+from operator import add, and_
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import SPACES, read_documents, staged, words_column
+from tessera.llm.common import labelled_sample, read_documents, staged, words_column
 
 #: Rows of the labelled table that the fit takes, about; the whole texts of these are read.
 TRAINING_ROWS = 6000
 THRESHOLDS = 12
 WINDOW = 5
+PLACE_BITS = 24
 # Fixed value: the symbols that the base statistics count.
 SYMBOLS = "#*$%&|<>"
 
 
-def _repeat_words(words: Column, n_words: Column) -> Column:
-    """Words in 5-word windows found twice or more in the text.
+def _window_codes(words: Column) -> Column:
+    """Sorted codes of a text's 5-word windows: the hash's low bits above, the window's place below."""
+    places = F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))
+    codes = F.transform(places, lambda i: F.shiftleft(F.xxhash64(F.slice(words, i, WINDOW)), PLACE_BITS).bitwiseOR(i.cast("bigint")))
+    return F.when(F.size(words) > WINDOW, F.sort_array(codes))
 
-    Windows are compared by hash first: where all hashes differ no window repeats. Else the windows
-    themselves, sorted with their places, show which ones repeat, and neighbouring places tell how many
-    words they cover.
+
+def _close(codes: Column) -> Column:
+    """Places of the windows whose hash agrees with a neighbour's in sorted order; no repeated window is missed."""
+    above = lambda x: F.shiftright(x, PLACE_BITS)
+    close = F.filter(codes, lambda x, j: (above(x) == above(F.get(codes, j + 1))) | (above(x) == above(F.get(codes, j - 1))))
+    return F.transform(close, lambda x: x.bitwiseAND(F.lit((1 << PLACE_BITS) - 1)).cast("int"))
+
+
+def _ranked(words: Column, close: Column) -> Column:
+    """The windows at these places as strings (words hold no blank) with their places, sorted.
+
+    Texts of more than 2^24 words take all their windows.
     """
-    last = n_words - (WINDOW - 1)
-    places = F.sequence(F.lit(1), last.cast("int"))
-    hashes = F.transform(places, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
-    # Exact way, only where two hashes agree: the windows as strings (words hold no blank), sorted with places.
-    ranked = F.sort_array(F.transform(places, lambda i: F.struct(F.concat_ws(" ", F.slice(words, i, WINDOW)).alias("w"), i.alias("i"))))
-    empty = F.array().cast("array<int>")
-    same = F.zip_with(F.slice(ranked, 2, F.greatest(last.cast("int") - 1, F.lit(0))), ranked, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(empty))
-    found = F.sort_array(F.array_distinct(F.flatten(F.filter(same, lambda x: x.isNotNull() & (F.size(x) > 0)))))
+    places = F.when(F.size(words) < 1 << PLACE_BITS, close).otherwise(F.sequence(F.lit(1), F.size(words) - (WINDOW - 1)))
+    return F.when(F.size(close) > 0, F.sort_array(F.transform(places, lambda i: F.struct(F.array_join(F.slice(words, i, WINDOW), " ").alias("w"), i.alias("i")))))
+
+
+def _repeat_words(ranked: Column) -> Column:
+    """Words that the windows found twice or more cover: neighbouring places tell how many words each adds."""
+    none = F.array().cast("array<int>")
+    same = F.zip_with(F.slice(ranked, 2, F.size(ranked)), ranked, lambda a, b: F.when(a["w"] == b["w"], F.array(a["i"], b["i"])).otherwise(none))
+    found = F.sort_array(F.array_distinct(F.flatten(same)))
     covered = F.aggregate(
         found,
         F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(-WINDOW).cast("int").alias("at")),
         lambda acc, i: F.struct((acc["n"] + F.least(F.lit(WINDOW), i - acc["at"])).alias("n"), i.alias("at")),
         lambda acc: acc["n"],
     )
-    distinct = F.size(F.array_distinct(hashes)) == last
-    return F.when(n_words < WINDOW + 1, F.lit(0).cast("bigint")).when(distinct, F.lit(0).cast("bigint")).otherwise(covered)
+    return F.when(ranked.isNull(), F.lit(0).cast("bigint")).otherwise(covered)
+
+
+def count_of(text: Column, characters: str) -> Column:
+    """How often these ASCII characters stand in a text (replace works on bytes; translate goes by character)."""
+    return reduce(add, (F.octet_length(text) - F.octet_length(F.replace(text, F.lit(c), F.lit(""))) for c in characters))
 
 
 def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
-    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and the raw counts that features use (named _q_*)."""
-    text = F.coalesce(docs[text_column], F.lit(""))
-    with_words = docs.withColumn("_q_text", text).withColumn("_q_words", words_column(F.col("_q_text")))
-    words, text = F.col("_q_words"), F.col("_q_text")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
-    less = lambda chars: (F.length(text) - F.length(F.translate(text, chars, ""))).cast("bigint")
-    n_words = F.size(words)
+    """Add n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words and what else features use (named _q_*).
+
+    Each intermediate array is a projection of its own, so that none is computed twice.
+    """
+    text, words = F.col("_q_text"), F.col("_q_words")
+    out = docs.withColumn("_q_text", F.coalesce(docs[text_column], F.lit("")))
+    out = out.withColumn("_q_words", words_column(text))
+    out = out.withColumns({"_q_codes": _window_codes(words), "_q_unique": F.array_distinct(words), "_q_split": F.split(text, "\n")})
+    out = out.withColumns({"_q_close": _close(F.col("_q_codes")), "_q_lines": F.when(F.size("_q_split") > 1, F.filter("_q_split", lambda x: x.rlike(r"[^\x20\x09-\x0D]")))})
+    out = out.withColumn("_q_ranked", _ranked(words, F.col("_q_close")))
     columns = {
-        "n_words": n_words.cast("bigint"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("bigint"),
-        "n_symbols": less(SYMBOLS),
-        "n_dup_lines": F.when(F.locate("\n", text) == 0, F.lit(0).cast("bigint")).otherwise((F.size(lines) - F.size(F.array_distinct(lines))).cast("bigint")),
-        "n_repeat_words": _repeat_words(words, n_words),
-        "_q_marks": less("!?*#$%&|<>~^=+_{}[]\\@"),
-        "_q_capitals": less("ABCDEFGHIJKLMNOPQRSTUVWXYZ"),
-        "_q_digits": less("0123456789"),
-        "_q_distinct": F.size(F.array_distinct(words)).cast("bigint"),
-        "_q_lines": (F.length(text) - F.length(F.translate(text, "\n", "")) + 1).cast("bigint"),
+        "n_words": F.size(words).cast("bigint"),
+        "word_chars": F.length(F.array_join(words, "")).cast("bigint"),
+        "n_symbols": count_of(text, SYMBOLS).cast("bigint"),
+        "n_dup_lines": F.coalesce(F.size("_q_lines") - F.size(F.array_distinct("_q_lines")), F.lit(0)).cast("bigint"),
+        "n_repeat_words": _repeat_words(F.col("_q_ranked")),
+        "_q_calls": count_of(text, "!?").cast("bigint"),
+        "_q_n_unique": F.size("_q_unique").cast("bigint"),
+        "_q_n_high": F.size(F.filter("_q_unique", lambda w: w < "a")).cast("bigint"),
+        "_q_n_lines": F.size("_q_split").cast("bigint"),
     }
-    return with_words.withColumns(columns)
+    return out.withColumns(columns)
 
 
 def feature_columns() -> dict[str, Column]:
     """The features of the learned rules, from with_statistics' columns; all finite."""
-    chars, words = F.greatest(F.col("word_chars"), F.lit(1)).cast("double"), F.greatest(F.col("n_words"), F.lit(1)).cast("double")
+    words = F.greatest(F.col("n_words"), F.lit(1)).cast("double")
     return {
         "words": F.col("n_words").cast("double"),
         "symbol_share": F.col("n_symbols") / words,
-        "mark_share": F.col("_q_marks") / words,
-        "capital_share": F.col("_q_capitals") / chars,
-        "digit_share": F.col("_q_digits") / chars,
+        "call_share": F.col("_q_calls") / words,
+        "high_word_share": F.col("_q_n_high") / F.greatest(F.col("_q_n_unique"), F.lit(1)).cast("double"),
         "word_length": F.col("word_chars") / words,
-        "dup_line_share": F.col("n_dup_lines") / F.greatest(F.col("_q_lines"), F.lit(1)).cast("double"),
+        "dup_line_share": F.col("n_dup_lines") / F.col("_q_n_lines").cast("double"),
         "repeat_share": F.col("n_repeat_words") / words,
-        "distinct_share": F.col("_q_distinct") / words,
+        "distinct_share": F.col("_q_n_unique") / words,
     }
 
 
@@ -210,13 +229,10 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     other than 0 and 1, null ids and ids without a text are left out; of an id's contradictory labels the
     lowest counts. Without usable labels the list is empty and keeps everything.
     """
-    marked = labels.where(labels[label_column].isin(0, 1) & labels[id_column].isNotNull()).groupBy(labels[id_column].alias("_q_id")).agg(F.min(label_column).alias("_q_label"))
-    total = marked.count()
-    if not total:
+    usable = labels.where(labels[label_column].isin(0, 1)).select(labels[id_column].alias("_q_id"), labels[label_column].alias("_q_label"))
+    rows = labelled_sample(docs, usable, training_rows, id_column, text_column)
+    if rows is None:
         return DecisionList()
-    place = F.pmod(F.xxhash64("_q_id"), F.lit(1 << 30))
-    chosen = marked.where(place < int((1 << 30) * min(1.0, training_rows / total)))
-    rows = docs.select(docs[id_column].alias("_q_id"), docs[text_column].alias("text")).join(chosen, "_q_id")
     features = feature_columns()
     measured = with_statistics(rows).select("_q_id", "_q_label", *(c.alias(n) for n, c in features.items()))
     quantiles = [i / (THRESHOLDS + 1) for i in range(1, THRESHOLDS + 1)] + [0.95, 0.98, 0.99]

@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language_id, media, packing, quality_rules, secret_scans, token_counts
+from tessera.llm import language_id, license_scans, media, mixing, packing, quality_rules, secret_scans, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_media_columns": media.op1_media_columns,
+        "op2_mixing": mixing.op2_mixing,
+        "op3_license_scans": license_scans.op3_license_scans,
         "op4_packing": packing.op4_packing,
         "op5_secret_scans": secret_scans.op5_secret_scans,
         "op7_language_id": language_id.op7_language_id,
