@@ -5,11 +5,11 @@ Everything here is DataFrame and SQL functions; the driver only sees the bounded
 
 from __future__ import annotations
 
-import math
 from dataclasses import dataclass, field
 from functools import reduce
 from operator import add, and_
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,9 +123,6 @@ class Condition:
         value = features[self.feature]
         return value > self.threshold if self.above else value <= self.threshold
 
-    def holds(self, value: float) -> bool:
-        return value > self.threshold if self.above else value <= self.threshold
-
     def __str__(self) -> str:
         return f"{self.feature} {'>' if self.above else '<='} {self.threshold:.6g}"
 
@@ -160,46 +157,49 @@ class DecisionList:
         return "\n".join(map(str, self.rules)) + "\nELSE keep"
 
 
-Cell = tuple[dict[str, float], int, int]  # feature values, bad rows, good rows
+@dataclass
+class Cells:
+    """Counts of bad and good rows by combination of feature values; holds[i, j]: candidate j holds in cell i."""
+
+    holds: np.ndarray
+    bad: np.ndarray
+    good: np.ndarray
 
+    def where(self, kept: np.ndarray) -> Cells:
+        return Cells(self.holds[kept], self.bad[kept], self.good[kept])
 
-def _tally(cells: list[Cell], conditions: tuple[Condition, ...]) -> tuple[int, int]:
-    bad = good = 0
-    for values, b, g in cells:
-        if all(c.holds(values[c.feature]) for c in conditions):
-            bad, good = bad + b, good + g
-    return bad, good
+    def covered(self, rule: tuple[int, ...]) -> np.ndarray:
+        return self.holds[:, list(rule)].all(1)
 
+    def tally(self, rule: tuple[int, ...]) -> tuple[int, int]:
+        inside = self.covered(rule)
+        return int(self.bad[inside].sum()), int(self.good[inside].sum())
 
-def _grow(cells: list[Cell], candidates: list[Condition], most: int = 4) -> tuple[Condition, ...]:
-    """Add the condition with the largest information gain until no good row is covered or nothing gains."""
-    rule: tuple[Condition, ...] = ()
-    covered = cells
+
+def _grow(cells: Cells, most: int = 4) -> tuple[int, ...]:
+    """Add the candidate with the largest information gain until no good row is covered or nothing gains."""
+    rule: tuple[int, ...] = ()
     while len(rule) < most:
-        bad, good = sum(c[1] for c in covered), sum(c[2] for c in covered)
-        if not good or not bad:
+        total_bad, total_good = cells.bad.sum(), cells.good.sum()
+        if not total_bad or not total_good:
             break
-        before = math.log2(bad / (bad + good))
-        best, best_gain = None, 1e-9
-        for c in candidates:
-            b = g = 0
-            for values, x, y in covered:
-                if c.holds(values[c.feature]):
-                    b, g = b + x, g + y
-            if b and (gain := b * (math.log2(b / (b + g)) - before)) > best_gain:
-                best, best_gain = c, gain
-        if best is None:
+        bad, good = cells.bad @ cells.holds, cells.good @ cells.holds
+        some = bad > 0
+        gain = np.zeros(len(bad))
+        gain[some] = bad[some] * (np.log2(bad[some] / (bad[some] + good[some])) - np.log2(total_bad / (total_bad + total_good)))
+        best = int(gain.argmax())
+        if gain[best] <= 1e-9:
             break
         rule = (*rule, best)
-        covered = [x for x in covered if best.holds(x[0][best.feature])]
+        cells = cells.where(cells.holds[:, best])
     return rule
 
 
-def _prune(cells: list[Cell], rule: tuple[Condition, ...]) -> tuple[Condition, ...]:
+def _prune(cells: Cells, rule: tuple[int, ...]) -> tuple[int, ...]:
     """Drop final conditions while (bad - good) / (bad + good) on the pruning rows doesn't fall."""
 
-    def worth(r: tuple[Condition, ...]) -> float:
-        bad, good = _tally(cells, r)
+    def worth(r: tuple[int, ...]) -> float:
+        bad, good = cells.tally(r)
         return (bad - good) / (bad + good) if bad + good else -1.0
 
     while len(rule) > 1 and worth(rule[:-1]) >= worth(rule):
@@ -207,17 +207,18 @@ def _prune(cells: list[Cell], rule: tuple[Condition, ...]) -> tuple[Condition, .
     return rule
 
 
-def sequential_covering(grow_cells: list[Cell], prune_cells: list[Cell], candidates: list[Condition], least_precision: float = 0.98, least_rows: int = 10, most_rules: int = 12) -> DecisionList:
+def sequential_covering(grow: Cells, prune: Cells, candidates: list[Condition], least_precision: float = 0.98, least_rows: int = 10, most_rules: int = 12) -> DecisionList:
     """Learn reject rules one after another, each on the rows that the rules before it leave."""
     rules: list[Rule] = []
     while len(rules) < most_rules:
-        rule = _prune(prune_cells, _grow(grow_cells, candidates))
-        bad, good = (x + y for x, y in zip(_tally(grow_cells, rule), _tally(prune_cells, rule), strict=True))
-        if not rule or bad < least_rows or bad / (bad + good) < least_precision:
+        rule = _prune(prune, _grow(grow))
+        if not rule:
+            break
+        bad, good = (x + y for x, y in zip(grow.tally(rule), prune.tally(rule), strict=True))
+        if bad < least_rows or bad / (bad + good) < least_precision:
             break
-        rules.append(Rule(rule, bad / (bad + good), bad + good))
-        left = lambda cells: [x for x in cells if not all(c.holds(x[0][c.feature]) for c in rule)]  # noqa: E731, B023
-        grow_cells, prune_cells = left(grow_cells), left(prune_cells)
+        rules.append(Rule(tuple(candidates[i] for i in rule), bad / (bad + good), bad + good))
+        grow, prune = grow.where(~grow.covered(rule)), prune.where(~prune.covered(rule))
     return DecisionList(tuple(rules))
 
 
@@ -249,13 +250,15 @@ def learn(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     binned = [reduce(lambda a, t: a + t, [(F.col(n) > t).cast("int") for t in bins[n]], F.lit(0)).alias(n) for n in names]
     half = F.pmod(F.xxhash64("_q_id", F.lit(1)), F.lit(3)) == 0
     cells = measured.select(half.alias("prune"), "_q_label", *binned).groupBy("prune", *names).agg(F.sum((F.col("_q_label") == 0).cast("int")).alias("bad"), F.sum((F.col("_q_label") == 1).cast("int")).alias("good"))
-    grow: list[Cell] = []
-    prune: list[Cell] = []
-    for r in cells.orderBy("prune", *names).collect():
-        values = {n: math.inf if r[n] == len(bins[n]) else (-math.inf if r[n] == 0 else (bins[n][r[n] - 1] + bins[n][r[n]]) / 2) for n in names}
-        (prune if r["prune"] else grow).append((values, r["bad"], r["good"]))
-    candidates = [Condition(n, t, above) for n in names for t in bins[n] for above in (True, False)]
-    return sequential_covering(grow, prune, candidates)
+    candidates = [(n, i, above) for n in names for i in range(len(bins[n])) for above in (True, False)]
+    found = cells.orderBy("prune", *names).collect()
+    place = np.array([[r[n] for n in names] for r in found], np.int64).reshape(len(found), len(names))
+    # Above threshold i of a feature: in a bin beyond i.
+    holds = np.stack([(place[:, names.index(n)] > i) == above for n, i, above in candidates], 1) if candidates else np.zeros((len(found), 0), bool)
+    counts = np.array([[r["bad"], r["good"]] for r in found], np.int64).reshape(len(found), 2)
+    every = Cells(holds, counts[:, 0], counts[:, 1])
+    pruning = np.array([r["prune"] for r in found], bool)
+    return sequential_covering(every.where(~pruning), every.where(pruning), [Condition(n, bins[n][i], above) for n, i, above in candidates])
 
 
 def judged(docs: DataFrame, rules: DecisionList, text_column: str = "text") -> DataFrame:
