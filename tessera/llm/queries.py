@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import language_id, license_scans, media, mixing, packing, quality_rules, secret_scans, token_counts
+from tessera.llm import jaccard_join, language_id, license_scans, media, mixing, packing, quality_rules, secret_scans, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -18,6 +18,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op5_secret_scans": secret_scans.op5_secret_scans,
         "op7_language_id": language_id.op7_language_id,
         "op8_token_counts": token_counts.op8_token_counts,
+        "op9_jaccard_join": jaccard_join.op9_jaccard_join,
         "op10_quality_rules": quality_rules.op10_quality_rules,
     }
 
