@@ -36,11 +36,20 @@ class Words:
 
     def __init__(self, texts: list[bytes]):
         split = [t.split() for t in texts]  # bytes split at [\x20\x09-\x0D] exactly
-        counts = np.array([len(w) for w in split], np.int64)
+        self._measure(b" ".join([w for words in split for w in words]), np.array([len(w) for w in split], np.int64))
+
+    @classmethod
+    def of_joined(cls, joined: bytes, counts: np.ndarray) -> Words:
+        """From texts that are joined already, and their numbers of words."""
+        self = cls.__new__(cls)
+        self._measure(joined, counts)
+        return self
+
+    def _measure(self, joined: bytes, counts: np.ndarray) -> None:
+        self.joined = joined
         self.first = np.r_[0, np.cumsum(counts)]
-        self.joined = b" ".join([w for words in split for w in words])
         self.raw = np.frombuffer(self.joined, np.uint8)
-        self.text = np.repeat(np.arange(len(texts)), counts)
+        self.text = np.repeat(np.arange(len(counts)), counts)
         blanks = np.flatnonzero(self.raw == 32)
         self.start = np.r_[0, blanks + 1] if len(self.text) else np.zeros(0, np.int64)
         self.end = np.r_[blanks, len(self.raw)] if len(self.text) else np.zeros(0, np.int64)
