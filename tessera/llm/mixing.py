@@ -119,18 +119,27 @@ def _softmax_regression(design: np.ndarray, truth: np.ndarray, rounds: int = 300
     return weights
 
 
+def _posteriors(rows: DataFrame, classifier: Classifier, *kept: str) -> DataFrame:
+    """The kept columns of rows with text, n_tokens and the posteriors p_0, p_1, ..."""
+    k = range(len(classifier.domains))
+    scored = _with_evidence(rows).select(*kept, F.size("_m_words").cast("bigint").alias("n_tokens"), classifier.scores(F.col("_m_unique"), F.col("_m_shapes")).alias("_m_scores"))
+    normal = scored.select(*kept, "n_tokens", F.array_max("_m_scores").alias("_m_top"), *(F.col("_m_scores")[i].alias(f"s_{i}") for i in k))
+    raised = normal.select(*kept, "n_tokens", *(F.exp(F.col(f"s_{i}") - F.col("_m_top")).alias(f"e_{i}") for i in k))
+    total = reduce(add, (F.col(f"e_{i}") for i in k))
+    return raised.select(*kept, "n_tokens", *((F.col(f"e_{i}") / total).alias(f"p_{i}") for i in k))
+
+
 def memberships(docs: DataFrame, classifier: Classifier, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """(id, n_tokens, p_0, p_1, ...): a text's words and its domain posteriors, one narrow pass."""
     rows = docs.select(docs[id_column].alias("_m_id"), docs[text_column].alias("text"))
-    scored = _with_evidence(rows).select("_m_id", F.size("_m_words").cast("bigint").alias("n_tokens"), classifier.scores(F.col("_m_unique"), F.col("_m_shapes")).alias("_m_scores"))
-    normal = scored.select("_m_id", "n_tokens", F.array_max("_m_scores").alias("_m_top"), *(F.col("_m_scores")[i].alias(f"s_{i}") for i in range(len(classifier.domains))))
-    raised = normal.select("_m_id", "n_tokens", *(F.exp(F.col(f"s_{i}") - F.col("_m_top")).alias(f"e_{i}") for i in range(len(classifier.domains))))
-    total = reduce(add, (F.col(f"e_{i}") for i in range(len(classifier.domains))))
-    return raised.select(F.col("_m_id").alias(id_column), "n_tokens", *((F.col(f"e_{i}") / total).alias(f"p_{i}") for i in range(len(classifier.domains))))
+    return _posteriors(rows, classifier, "_m_id").withColumnRenamed("_m_id", id_column)
+
 
+def fit_rates(members: DataFrame, targets: list[float], anchor: int | None = None, ridge: float = RIDGE, most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
+    """Nonnegative document rates whose expected domain totals match the targets.
 
-def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE, most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
-    """Nonnegative document rates whose expected domain totals match the targets (shares of all tokens).
+    Targets are shares of as many tokens as there are, or, with an anchor, of as many as leave that domain's
+    total as it is.
 
     Minimises sum_c ((S_c - t_c)^2 / a_c) / 2 + ridge/2 * sum_d w_d (r_d - 1)^2, where w_d is the document's
     share of tokens, S_c = sum_d w_d r_d p_dc and a_c is S_c at rate 1, by projected gradient in the metric
@@ -150,7 +159,8 @@ def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE, mo
     present = [base[f"t{i}"] / tokens for i in range(k)]
     # A domain without tokens can't be raised: its target goes to the others in proportion.
     wanted = [t if a > 0 else 0.0 for t, a in zip(targets, present, strict=True)]
-    wanted = [t / (sum(wanted) or 1.0) for t in wanted]
+    whole = wanted[anchor] / present[anchor] if anchor is not None and wanted[anchor] > 0 else sum(wanted) or 1.0
+    wanted = [t / whole for t in wanted]
     shares, step = present, 1 / (1 + ridge)
     for _ in range(most_rounds):
         slope = [(s - t) / a if a > 0 else 0.0 for s, t, a in zip(shares, wanted, present, strict=True)]
@@ -162,20 +172,24 @@ def fit_rates(members: DataFrame, targets: list[float], ridge: float = RIDGE, mo
     return rate, shares
 
 
-def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_column: str = "doc_id", text_column: str = "text", training_rows: int = TRAINING_ROWS) -> DataFrame:
+def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_column: str = "doc_id", text_column: str = "text", training_rows: int = TRAINING_ROWS, anchor: str | None = None) -> DataFrame:
     """Per document: id, n_tokens, domain (most likely), p_<domain>..., rate, copies.
 
     copies is rate rounded down or up at random in proportion (by a hash of id), so that copies follow
     the rate in expectation. Null or empty texts have 0 tokens and the prior's posteriors; rows with a null
     or repeated id are each weighed (equal id and text give equal results); an empty table gives no rows;
-    a domain that targets don't name gets 0.
+    a domain that targets don't name gets 0. With an anchor, that domain's total stays (see fit_rates).
     """
     classifier = fit_classifier(docs, labels, id_column, text_column, training_rows)
     members = staged(memberships(docs, classifier, id_column, text_column))
+    return _weighed(members, classifier, targets, id_column, anchor)
+
+
+def _weighed(members: DataFrame, classifier: Classifier, targets: dict[str, float], id_column: str, anchor: str | None) -> DataFrame:
     wanted = [float(targets.get(d, 0.0)) for d in classifier.domains]
     if not sum(wanted):
         wanted = [1.0] * len(wanted)
-    rate, _ = fit_rates(members, wanted)
+    rate, _ = fit_rates(members, wanted, classifier.domains.index(anchor) if anchor in classifier.domains else None)
     top = F.greatest(*(F.col(f"p_{i}") for i in range(len(wanted)))) if len(wanted) > 1 else F.col("p_0")
     domain = reduce(lambda found, i: found.when(F.col(f"p_{i}") == top, classifier.domains[i]), range(1, len(wanted)), F.when(F.col("p_0") == top, classifier.domains[0]))
     chance = F.pmod(F.xxhash64(F.col(id_column), F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
@@ -183,5 +197,25 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_colu
     return out.withColumn("copies", F.floor(F.col("rate") + chance))
 
 
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str, sure: float = 0.85, training_rows: int = TRAINING_ROWS) -> DataFrame:
+    """docs thinned to the targets: the same columns, each row at most once.
+
+    The anchor domain's total stays, so its documents have rates near 1. A row stays if its rate is `sure` or
+    more, else with its rate as the chance (by a hash of doc_id); a rate above 1 repeats nothing. Rates come
+    from memberships, which are written once; the final pass weighs each row by its own text, so no join
+    of texts is needed and rows with null or repeated ids are each judged.
+    """
+    classifier = fit_classifier(docs, labels, training_rows=training_rows)
+    members = staged(memberships(docs, classifier))
+    wanted = [float(targets.get(d, 0.0)) for d in classifier.domains]
+    if not sum(wanted):
+        return docs
+    rate, _ = fit_rates(members, wanted, classifier.domains.index(anchor) if anchor in classifier.domains else None)
+    whole = docs.select(F.struct("*").alias("_m_row"), F.col("doc_id").alias("_m_id"), F.col("text"))
+    weighed = _posteriors(whole, classifier, "_m_row", "_m_id").withColumn("_m_rate", F.round(rate, 6))
+    chance = F.pmod(F.xxhash64(F.col("_m_id"), F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
+    return weighed.where((F.col("_m_rate") >= sure) | (F.col("_m_rate") > chance)).select("_m_row.*")
+
+
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed(read_documents(spark, sf_dir), domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet")), TARGETS)
