@@ -212,9 +212,10 @@ def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float
         return docs
     rate, _ = fit_rates(members, wanted, classifier.domains.index(anchor) if anchor in classifier.domains else None)
     whole = docs.select(F.struct("*").alias("_m_row"), F.col("doc_id").alias("_m_id"), F.col("text"))
-    weighed = _posteriors(whole, classifier, "_m_row", "_m_id").withColumn("_m_rate", F.round(rate, 6))
+    weighed = _posteriors(whole, classifier, "_m_row", "_m_id").withColumn("_m_at", F.monotonically_increasing_id()).withColumn("_m_rate", F.round(rate, 6))
     chance = F.pmod(F.xxhash64(F.col("_m_id"), F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
-    return weighed.where((F.col("_m_rate") >= sure) | (F.col("_m_rate") > chance)).select("_m_row.*")
+    # _m_at isn't deterministic to the optimizer, so the filter stays above the projection of the posteriors.
+    return weighed.where((F.col("_m_at") >= 0) & ((F.col("_m_rate") >= sure) | (F.col("_m_rate") > chance))).select("_m_row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

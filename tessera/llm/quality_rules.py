@@ -87,6 +87,9 @@ def with_statistics(docs: DataFrame, text_column: str = "text") -> DataFrame:
         "_q_n_unique": F.size("_q_unique").cast("bigint"),
         "_q_n_high": F.size(F.filter("_q_unique", lambda w: w < "a")).cast("bigint"),
         "_q_n_lines": F.size("_q_split").cast("bigint"),
+        # Not deterministic to the optimizer: a filter on the verdict stays above this projection instead of
+        # computing all the arrays again for each time that it names them.
+        "_q_row": F.monotonically_increasing_id(),
     }
     return out.withColumns(columns)
 
@@ -272,6 +275,11 @@ def judged(docs: DataFrame, rules: DecisionList, text_column: str = "text") -> D
     return found.withColumn("kept", ~F.col("base_failed") & F.col("rule").isNull())
 
 
+def kept_documents(docs: DataFrame, rules: DecisionList, text_column: str = "text") -> DataFrame:
+    """The rows that neither the base rules nor the learned ones reject, with their own columns."""
+    return judged(docs, rules, text_column).where(F.col("kept") & (F.col("_q_row") >= 0)).select(docs.columns)
+
+
 def quality(docs: DataFrame, rules: DecisionList, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """Per document: id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, rule."""
     rows = docs.select(docs[id_column].alias(id_column), docs[text_column].alias("text"))
