@@ -334,7 +334,8 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int, percent: int) ->
             yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
-    some = staged(may_hold(texts, needed).join(needed, "doc", "left_semi"))
+    # needed is distinct. A semi join would be pushed below the filter and shuffle all texts.
+    some = staged(may_hold(texts, needed).join(needed, "doc"))
     left, right = some.select(F.col("doc").alias("a"), F.col("text").alias("t_a")), some.select(F.col("doc").alias("b"), F.col("text").alias("t_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint")
 
