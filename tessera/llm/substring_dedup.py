@@ -65,7 +65,7 @@ def _ranges(doc: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray,
 
 def _range_rows(doc: np.ndarray, first: np.ndarray, count: np.ndarray) -> pa.RecordBatch:
     size = len(doc)
-    kind, bucket = pa.array(np.full(size, RANGE, np.int32)), pa.array((first % 997).astype(np.int32))
+    kind, bucket = pa.array(np.full(size, RANGE, np.int32)), pa.array(((doc + first) % 1_000_003).astype(np.int32))
     return pa.RecordBatch.from_arrays([kind, bucket, *(pa.array(np.asarray(x, np.int64)) for x in (doc, first, count)), pa.nulls(size, pa.binary())], names=_NAMES)
 
 
