@@ -97,6 +97,23 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_column: st
     return docs.select(docs[id_column].alias("_q_id"), docs[text_column].alias("text")).join(F.broadcast(chosen), "_q_id")
 
 
+def split_by(rows: DataFrame, needed: DataFrame, bits: int = 22) -> tuple[DataFrame, DataFrame]:
+    """The rows whose doc may be among needed's (both bigint doc), and those whose doc is surely not.
+
+    A bitmap of hashed ids, as a table of 2^bits / 64 rows at most whatever the input, goes to every task;
+    it keeps most whole texts out of a join's shuffle. Rows that pass by chance are left to that join. A
+    null doc is surely not among them.
+    """
+    place = F.pmod(F.xxhash64("doc"), F.lit(1 << bits))
+    bitmap = needed.where("doc IS NOT NULL").select(F.shiftright(place, 6).alias("word_"), F.pmod(place, F.lit(64)).cast("int").alias("bit_"))
+    bitmap = staged(bitmap.groupBy("word_").agg(F.bit_or(F.expr("shiftleft(1L, bit_)")).alias("bits_")))
+    marked = rows.withColumn("word_", F.shiftright(place, 6)).join(F.broadcast(bitmap), "word_", "left")
+    bit = F.pmod(place, F.lit(64)).cast("int")
+    held = F.expr("bits_ IS NOT NULL AND doc IS NOT NULL") & (F.call_function("shiftrightunsigned", F.col("bits_"), bit).bitwiseAND(F.lit(1).cast("bigint")) == 1)
+    held = F.coalesce(held, F.lit(False))
+    return marked.where(held).select(rows.columns), marked.where(~held).select(rows.columns)
+
+
 def hash_modulus(value: Column, salts: int) -> Column:
     """A non-negative salt below salts."""
     return F.pmod(F.xxhash64(value), F.lit(salts)).cast("int")

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_documents, shuffle_partitions, slices, staged
+from tessera.llm.common import read_documents, shuffle_partitions, slices, split_by, staged
 from tessera.llm.components import components
 from tessera.llm.shingles import mix, shingle_sets
 
@@ -22,8 +22,6 @@ SIGNATURES_AT_ONCE, DIGESTS_HELD = 1_000_000, 200_000
 BAND_RATIO = 1.5
 #: Members of a bucket that are compared with one another at once.
 BLOCK = 256
-#: Size of the bitmap that keeps most texts out of the verification's shuffle.
-FILTER_BITS = 22
 
 DOCUMENT, COPY, PAIR, MEMBER = range(4)
 
@@ -305,20 +303,6 @@ def _likely(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "n_a", "n_b", "s_a", "s_b").mapInArrow(run, "a bigint, b bigint")
 
 
-def may_hold(rows: DataFrame, needed: DataFrame, bits: int = FILTER_BITS) -> DataFrame:
-    """The rows whose doc may be among needed's (bigint doc), before a join that shuffles whole texts.
-
-    A bitmap of hashed ids, as a table of 2^bits / 64 rows at most whatever the input, goes to every task.
-    Rows that pass by chance are left to the join.
-    """
-    place = F.pmod(F.xxhash64("doc"), F.lit(1 << bits))
-    word, bit = F.shiftright(place, 6), F.pmod(place, F.lit(64)).cast("int")
-    bitmap = needed.select(word.alias("word_"), F.expr("shiftleft(1L, 0)").alias("one"), bit.alias("bit_"))
-    bitmap = bitmap.groupBy("word_").agg(F.bit_or(F.expr("shiftleft(one, bit_)")).alias("bits_"))
-    found = rows.withColumn("word_", word).join(F.broadcast(bitmap), "word_")
-    return found.where(F.expr(f"shiftrightunsigned(bits_, cast(pmod(pmod(xxhash64(doc), {1 << bits}L), 64) as int)) & 1 = 1")).select(rows.columns)
-
-
 def _verified(pairs: DataFrame, texts: DataFrame, length: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose whole texts reach the similarity."""
 
@@ -335,7 +319,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int, percent: int) ->
 
     needed = pairs.select(F.col("a").alias("doc")).union(pairs.select("b")).distinct()
     # needed is distinct. A semi join would be pushed below the filter and shuffle all texts.
-    some = staged(may_hold(texts, needed).join(needed, "doc"))
+    some = staged(split_by(texts, needed)[0].join(needed, "doc"))
     left, right = some.select(F.col("doc").alias("a"), F.col("text").alias("t_a")), some.select(F.col("doc").alias("b"), F.col("text").alias("t_b"))
     return pairs.join(right, "b").join(left, "a").select("a", "b", "t_a", "t_b").mapInArrow(run, "a bigint, b bigint")
 

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_documents, shuffle_partitions, slices
+from tessera.llm.common import read_documents, shuffle_partitions, slices, split_by, staged
 from tessera.llm.shingles import Words
 
 WINDOW = 20
@@ -209,10 +209,12 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
     range of minimisers, about 1 / (partitions * BUCKETS_EACH) of the corpus, and is judged alone. Copies
     within a task travel once, so a bucket gets a passage at most once from each task.
     """
-    ranges = repeated_ranges(docs, id_column, text_column, window)
+    ranges = staged(repeated_ranges(docs, id_column, text_column, window))
     merged = ranges.groupBy("doc").agg(F.collect_list(F.struct("first", "n")).alias("ranges"))
     rows = docs.select(docs[id_column].alias("id"), docs[id_column].cast("bigint").alias("doc"), docs[text_column].alias("text"))
-    joined = rows.join(merged, "doc", "left").select("id", "text", "ranges")
+    # Only texts that may lose something go through the join's shuffle; a bitmap of fixed size tells which.
+    held, free = split_by(rows, ranges.select("doc").distinct())
+    joined = held.join(merged, "doc", "left").select("id", "text", "ranges").union(free.select("id", "text", F.lit(None).cast(merged.schema["ranges"].dataType)))
     kind = docs.schema[id_column].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
