@@ -78,6 +78,8 @@ def fit_classifier(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id"
     held = _with_evidence(rows).select("_q_id", "_q_label", F.concat("_m_unique", "_m_shapes").alias("e"))
     held = staged(held)
     sizes = {r["_q_label"]: r["n"] for r in held.groupBy("_q_label").agg(F.count("*").alias("n")).collect()}
+    if not sizes:
+        return Classifier(("all",), (0.0,), {})
     domains = tuple(sorted(sizes))
     total = sum(sizes.values())
     counted = held.select("_q_label", F.explode("e").alias("w")).groupBy("w").agg(*(F.sum((F.col("_q_label") == d).cast("int")).alias(f"n{i}") for i, d in enumerate(domains)))
