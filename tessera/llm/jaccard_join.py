@@ -21,7 +21,7 @@ from tessera.llm.shingles import mix, shingle_sets
 SIGNATURES_AT_ONCE, DIGESTS_HELD = 1_000_000, 200_000
 BAND_RATIO = 1.5
 #: Members of a bucket that are compared with one another at once.
-BLOCK = 256
+BLOCK = 2048
 
 DOCUMENT, COPY, PAIR, MEMBER = range(4)
 
@@ -110,7 +110,7 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
 
 def sketch(features: np.ndarray, percent: int) -> bytes:
     """Four bits for each of a power of two of pieces of the domain; differing bits prove a differing feature."""
-    pieces = 1 << max(4, (2 * most_distance(len(features), percent)).bit_length())
+    pieces = 1 << max(4, (4 * most_distance(len(features), percent)).bit_length())
     # Low bits of sums: adding two pieces' bits gives those of the piece that both make up.
     bits = (_piece_sums(features, pieces) & np.uint64(15)).astype(np.uint8)
     return (bits[0::2] | (bits[1::2] << 4)).tobytes()
