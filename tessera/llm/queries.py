@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm import jaccard_join, language_id, license_scans, media, mixing, packing, quality_rules, secret_scans, substring_dedup, token_counts
+from tessera.llm import jaccard_join, language_id, license_scans, media, mixing, oracles, packing, quality_rules, secret_scans, substring_dedup, token_counts
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -25,4 +25,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_substring_dedup": oracles.SUBSTRINGS, "op9_jaccard_join": oracles.JACCARD}
