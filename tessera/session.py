@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import threading
 import uuid
 from collections.abc import Callable, Iterator
 from typing import Any
@@ -21,12 +22,14 @@ class Session:
         self.spark, self._id = spark, uuid.uuid4().hex[:12]
         self._tables: dict[str, tuple[str, T.StructType]] = {}
         self._functions: dict[str, Any] = {}
+        self._lowered: dict[tuple, str] = {}
 
     def register(self, name: str, df: DataFrame) -> None:
         """Make a DataFrame a table; names are lower-cased."""
         view = f"tessera_{self._id}_{name.lower()}"
         df.createOrReplaceTempView(view)
         self._tables[name.lower()] = (f"`{view}`", df.schema)
+        self._lowered.clear()
 
     def drop(self, name: str) -> None:
         if self._tables.pop(name.lower(), None) is None:
@@ -40,15 +43,49 @@ class Session:
         """Register a scalar function (a pandas or Arrow UDF, or a Python callable) for SQL."""
         self.spark.udf.register(name.lower(), function) if hasattr(function, "returnType") else self.spark.udf.register(name.lower(), function, returns)
         self._functions[name.lower()] = kind_of(returns)
+        self._lowered.clear()
 
     def lower(self, text: str, params: Any = None) -> str:
-        """The Spark SQL that a query becomes."""
-        return Lowering(self._tables.get, params, self._functions).query(parse_query(text))[0]
+        """The Spark SQL that a query becomes; remembered for the same text and parameters."""
+        key = (text, repr(params))
+        if key not in self._lowered:
+            if len(self._lowered) >= 256:
+                self._lowered.clear()
+            self._lowered[key] = Lowering(self._tables.get, params, self._functions).query(parse_query(text))[0]
+        return self._lowered[key]
 
     def sql(self, text: str, params: Any = None) -> DataFrame:
         """Run a query; params is a list for ? and ?N, or a dict for :name, @name and $name."""
         return self.spark.sql(self.lower(text, params))
 
+    def collect(self, text: str, params: Any = None, seconds: float | None = None, tag: str | None = None) -> list[Row]:
+        """All rows; the query is cancelled after so many seconds, or by cancel(tag) from another thread."""
+        tag = tag or f"tessera-{uuid.uuid4().hex}"
+        done, late = threading.Event(), threading.Event()
+
+        def watch() -> None:
+            if not done.wait(seconds):
+                late.set()
+                while not done.wait(0.2):  # again for jobs that had not started
+                    self.cancel(tag)
+
+        self.spark.sparkContext.addJobTag(tag)
+        try:
+            if seconds is not None:
+                threading.Thread(target=watch, daemon=True).start()
+            return self.sql(text, params).collect()
+        except Exception as error:
+            if late.is_set() or "cancelled" in str(error).lower():
+                raise EngineError("cancelled", "the deadline passed" if late.is_set() else "the query was cancelled") from error
+            raise
+        finally:
+            done.set()
+            self.spark.sparkContext.removeJobTag(tag)
+
+    def cancel(self, tag: str) -> None:
+        """Cancel the queries that run under a tag."""
+        self.spark.sparkContext.cancelJobsWithTag(tag)
+
     def each(self, text: str, visit: Callable[[Row], Any], params: Any = None) -> int:
         """Call visit on each row as partitions arrive, until it returns False; returns rows visited."""
         n = 0

@@ -580,7 +580,7 @@ class Store:
 
     # -- upkeep
     def _do_vacuum(self, p: Parser, params: Any) -> None:
-        """Rewrite each table compactly; folders that no manifest names any more go."""
+        """Rewrite each table compactly; older folders stay for readers that opened them (see prune)."""
         for name in self._tables:
             if self._tables[name]["path"]:
                 self._write(name, self.frame(name).coalesce(8))
@@ -600,6 +600,19 @@ class Store:
         rows = [(n, self.frame(n).count()) for n in sorted(self._tables)]
         return self.spark.createDataFrame(rows, "table_name string, n_rows bigint")
 
+    def prune(self) -> int:
+        """Delete table folders that the latest manifest doesn't name, and say how many; older snapshots end."""
+        named = {t["path"] for t in self._load(self._latest()).values() if t["path"]} | {t["path"] for t in self._tables.values() if t["path"]}
+        gone = 0
+        tables = self._path(f"{self.root}/tables")
+        for table in self._fs.listStatus(tables) if self._fs.exists(tables) else []:
+            for version in self._fs.listStatus(table.getPath()):
+                name = f"{self.root}/tables/{table.getPath().getName()}/{version.getPath().getName()}"
+                if name not in named:
+                    self._fs.delete(version.getPath(), True)
+                    gone += 1
+        return gone
+
     def backup(self, target: str) -> None:
         """Copy the committed state to another root; a Store opens there."""
         tables = deepcopy(self._load(self._base))
