@@ -25,7 +25,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     Rows with a null id stay; rows that share an id are one document and stay or go together.
     """
-    classes = jaccard_join.jaccard_classes(docs, length=5, percent=80)
+    classes = jaccard_join.jaccard_classes(docs, length=5, percent=80, fineness=2)
     gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
 

@@ -108,9 +108,9 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
     return np.concatenate(out)
 
 
-def sketch(features: np.ndarray, percent: int) -> bytes:
+def sketch(features: np.ndarray, percent: int, fineness: int = 4) -> bytes:
     """Four bits for each of a power of two of pieces of the domain; differing bits prove a differing feature."""
-    pieces = 1 << max(4, (4 * most_distance(len(features), percent)).bit_length())
+    pieces = 1 << max(4, (fineness * most_distance(len(features), percent)).bit_length())
     # Low bits of sums: adding two pieces' bits gives those of the piece that both make up.
     bits = (_piece_sums(features, pieces) & np.uint64(15)).astype(np.uint8)
     return (bits[0::2] | (bits[1::2] << 4)).tobytes()
@@ -143,6 +143,7 @@ def block_pairs(data: list[bytes], n: np.ndarray, group: np.ndarray, side: np.nd
     side is 0 everywhere to compare all with all, else only 1 with 2.
     """
     rows = _unpacked(data)
+    rows = np.ascontiguousarray(rows[:, 0::2] | (rows[:, 1::2] << 4)).view(np.uint64)  # 16 pieces a number
     allowed = np.array([most_distance(int(x), percent) for x in n], np.int64)
     left, right = [], []
     for i in range(len(data)):
@@ -151,7 +152,11 @@ def block_pairs(data: list[bytes], n: np.ndarray, group: np.ndarray, side: np.nd
         later = np.arange(i + 1, len(data)) if side[i] == 0 else np.flatnonzero(side == 2)
         later = later[(group[later] != group[i]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))]
         if len(later):
-            near = later[(rows[later] != rows[i]).sum(1) <= np.minimum(allowed[later], allowed[i])]
+            differ = rows[later] ^ rows[i]
+            differ |= differ >> np.uint64(1)
+            differ |= differ >> np.uint64(2)
+            pieces = np.bitwise_count(differ & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
+            near = later[pieces <= np.minimum(allowed[later], allowed[i])]
             left += [i] * len(near)
             right.append(near)
     return np.array(left, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
@@ -182,7 +187,7 @@ def _rows(kind: int, key: np.ndarray, doc: np.ndarray, n: np.ndarray | None = No
     )
 
 
-def _sign(length: int, percent: int, buckets: int):
+def _sign(length: int, percent: int, buckets: int, fineness: int):
     """Map side: a row for each document (size, sketch), copies of a set seen before in this task, and signatures.
 
     Signatures travel packed: a row holds those of many documents for one bucket, sorted.
@@ -209,7 +214,7 @@ def _sign(length: int, percent: int, buckets: int):
             sets = shingle_sets([normalised(t) for t in part.column("text").to_pylist()], length)
             copies, data = [], []
             for doc, features in zip(ids, sets, strict=True):
-                data.append(sketch(features, percent) if len(features) else b"")
+                data.append(sketch(features, percent, fineness) if len(features) else b"")
                 if doc is None or not len(features):
                     continue
                 digest = hashlib.blake2b(features.tobytes(), digest_size=16).digest()
@@ -367,7 +372,7 @@ def _rest(members: DataFrame, labels: DataFrame, known: DataFrame, percent: int)
     return sorted_.mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def jaccard_classes(docs: DataFrame, length: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+def jaccard_classes(docs: DataFrame, length: int = 5, percent: int = 80, id_column: str = "doc_id", text_column: str = "text", fineness: int = 4) -> DataFrame:
     """Classes of documents linked by a Jaccard similarity of percent / 100 or more: id, n_shingles, component_id.
 
     A set is a text's distinct shingles of length words (A-Z in lower case; the whole text if it has fewer
@@ -378,12 +383,13 @@ def jaccard_classes(docs: DataFrame, length: int = 5, percent: int = 80, id_colu
     Documents that share a PartEnum signature are candidates: each with the smallest id of its bucket
     first, then, in buckets that are not one component yet, with all others. Sketches drop candidates that
     cannot be similar, and whole texts decide. So every component is exact, and a bucket of many copies
-    costs one pair a copy.
+    costs one pair a copy. Sketches have more pieces than fineness times the largest distance: finer ones drop
+    more candidates and take more space; the result is the same.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
     texts = docs.select(docs[id_column].cast("bigint").alias("doc"), docs[text_column].alias("text"))
-    signed = texts.mapInArrow(_sign(length, percent, buckets), _ROW).repartition(buckets, "key")
+    signed = texts.mapInArrow(_sign(length, percent, buckets, fineness), _ROW).repartition(buckets, "key")
     found = staged(signed.mapInArrow(_gather, _ROW), "kind")
     sizes = found.where(F.col("kind") == DOCUMENT).select("doc", "n", "data")
     known = sizes.where("doc IS NOT NULL AND n > 0")
