@@ -45,6 +45,11 @@ def most_distance(size: int, percent: int) -> int:
     return union - -(-percent * union // 100)
 
 
+def pair_distance(size_a, size_b, percent: int):
+    """Largest symmetric difference of two sets of these sizes that reach the similarity; numbers or arrays."""
+    return (100 - percent) * (size_a + size_b) // (100 + percent)
+
+
 def _band(number: int, low: int, high: int, percent: int) -> Band:
     distance = most_distance(high, percent)
     if distance == 0:
@@ -81,9 +86,12 @@ def _edges(pieces: int) -> np.ndarray:
 
 
 def _piece_sums(features: np.ndarray, pieces: int) -> np.ndarray:
-    """Order-free hash of the features that lie in each piece of the domain (features are sorted)."""
+    """Order-free hash of the features that lie in each piece of the domain (features are sorted).
+
+    Every feature adds an odd number, so a sum's lowest bit is the parity of their count.
+    """
     with np.errstate(over="ignore"):
-        total = np.r_[np.uint64(0), np.cumsum(mix(features ^ np.uint64(0xA5A5A5A5A5A5A5A5)))]
+        total = np.r_[np.uint64(0), np.cumsum(mix(features ^ np.uint64(0xA5A5A5A5A5A5A5A5)) | np.uint64(1))]
         bounds = np.r_[np.searchsorted(features, _edges(pieces)), len(features)]
         return total[bounds[1:]] - total[bounds[:-1]]
 
@@ -109,7 +117,10 @@ def signatures(features: np.ndarray, percent: int) -> np.ndarray:
 
 
 def sketch(features: np.ndarray, percent: int, fineness: int = 4) -> bytes:
-    """Four bits for each of a power of two of pieces of the domain; differing bits prove a differing feature."""
+    """Four bits for each of a power of two of pieces of the domain.
+
+    Differing bits prove a differing feature, and two where the lowest bit agrees, as the counts' parity does.
+    """
     pieces = 1 << max(4, (fineness * most_distance(len(features), percent)).bit_length())
     # Low bits of sums: adding two pieces' bits gives those of the piece that both make up.
     bits = (_piece_sums(features, pieces) & np.uint64(15)).astype(np.uint8)
@@ -134,7 +145,8 @@ def sketches_allow(a: bytes, n_a: int, b: bytes, n_b: int, percent: int) -> bool
     if 100 * min(n_a, n_b) < percent * max(n_a, n_b):
         return False
     x, y = _unpacked([a, b])
-    return int((x != y).sum()) <= most_distance(min(n_a, n_b), percent)
+    differ = x ^ y
+    return 2 * np.count_nonzero(differ) - np.count_nonzero(differ & 1) <= pair_distance(n_a, n_b, percent)
 
 
 def block_pairs(data: list[bytes], n: np.ndarray, group: np.ndarray, side: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -144,7 +156,7 @@ def block_pairs(data: list[bytes], n: np.ndarray, group: np.ndarray, side: np.nd
     """
     rows = _unpacked(data)
     rows = np.ascontiguousarray(rows[:, 0::2] | (rows[:, 1::2] << 4)).view(np.uint64)  # 16 pieces a number
-    allowed = np.array([most_distance(int(x), percent) for x in n], np.int64)
+    low = np.uint64(0x1111111111111111)
     left, right = [], []
     for i in range(len(data)):
         if side[i] == 2:
@@ -153,10 +165,11 @@ def block_pairs(data: list[bytes], n: np.ndarray, group: np.ndarray, side: np.nd
         later = later[(group[later] != group[i]) & (100 * np.minimum(n[later], n[i]) >= percent * np.maximum(n[later], n[i]))]
         if len(later):
             differ = rows[later] ^ rows[i]
+            odd = np.bitwise_count(differ & low).sum(1, dtype=np.int64)
             differ |= differ >> np.uint64(1)
             differ |= differ >> np.uint64(2)
-            pieces = np.bitwise_count(differ & np.uint64(0x1111111111111111)).sum(1, dtype=np.int64)
-            near = later[pieces <= np.minimum(allowed[later], allowed[i])]
+            pieces = np.bitwise_count(differ & low).sum(1, dtype=np.int64)
+            near = later[2 * pieces - odd <= pair_distance(n[later], n[i], percent)]
             left += [i] * len(near)
             right.append(near)
     return np.array(left, np.int64), np.concatenate(right) if right else np.zeros(0, np.int64)
