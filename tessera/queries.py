@@ -43,6 +43,7 @@ q("cte_shared", "WITH c AS (SELECT c_nationkey AS k, count(*) AS n FROM customer
 q("derived_colnames", "SELECT d.flag AS flag, d.n AS n FROM (SELECT l_returnflag, count(*) FROM lineitem GROUP BY l_returnflag) AS d(flag, n)", "SELECT l_returnflag AS flag, count(*) AS n FROM lineitem GROUP BY 1")
 # Projection, filters
 q("project_expr", "SELECT l_orderkey, l_linenumber + 1 AS next_line, l_extendedprice * 2 AS twice FROM lineitem WHERE l_orderkey < 500", "SELECT l_orderkey, CAST(l_linenumber + 1 AS BIGINT) AS next_line, l_extendedprice * 2 AS twice FROM lineitem WHERE l_orderkey < 500")
+q("project_expr_whole", "SELECT l_orderkey, l_linenumber + 1 AS next_line, l_extendedprice * 2 AS twice FROM lineitem", "SELECT l_orderkey, CAST(l_linenumber + 1 AS BIGINT) AS next_line, l_extendedprice * 2 AS twice FROM lineitem")
 q("project_star", "SELECT s.*, s_acctbal + 1 AS more FROM supplier AS s", "SELECT s_suppkey, s_name, CAST(s_nationkey AS BIGINT) AS s_nationkey, s_acctbal, s_acctbal + 1 AS more FROM supplier")
 q("filter_3vl", "SELECT doc_id FROM documents WHERE NOT (lang = 'en' AND NULL)", "SELECT doc_id FROM documents WHERE lang <> 'en'")
 q("filter_bool", "SELECT c_custkey FROM customer WHERE (c_acctbal > 5000 OR c_mktsegment = 'BUILDING') AND NOT c_nationkey = 3")
