@@ -112,6 +112,7 @@ q("set_union_mixed", "SELECT n_nationkey AS k FROM nation UNION SELECT s_acctbal
 # Functions
 q("fn_arith_int", "SELECT o_orderkey, o_orderkey * 3 - o_custkey + 1 AS v FROM orders")
 q("fn_arith_real", "SELECT l_orderkey, l_linenumber, l_quantity * 2 - 0.5 AS v FROM lineitem WHERE l_orderkey < 1000", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity * 2 - CAST(0.5 AS DOUBLE) AS v FROM lineitem WHERE l_orderkey < 1000")
+q("fn_arith_real_whole", "SELECT l_orderkey, l_linenumber, l_quantity * 2 - 0.5 AS v FROM lineitem", "SELECT l_orderkey, CAST(l_linenumber AS BIGINT) AS l_linenumber, l_quantity * 2 - CAST(0.5 AS DOUBLE) AS v FROM lineitem")
 q("fn_div_int", "SELECT p_partkey, p_partkey / (p_size - 5) AS v FROM part", "SELECT p_partkey, p_partkey // nullif(p_size - 5, 0) AS v FROM part")
 q("fn_mod", "SELECT p_partkey, p_partkey % (p_size - 5) AS v FROM part", "SELECT p_partkey, p_partkey % nullif(p_size - 5, 0) AS v FROM part")
 q("fn_bitand", "SELECT o_orderkey, o_orderkey & 12 AS v FROM orders")
