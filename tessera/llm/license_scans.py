@@ -70,6 +70,8 @@ CASUAL = (
 )
 TRAINING_PARAGRAPHS = 2000
 LEAST_COVER = 0.6
+#: A wrapped notice may take so many times its template's words; so many words around it are classified with it, as in training.
+SPREAD, AROUND = 2, 4
 _WORD = re.compile(r"[a-z0-9]+(?:[.-][a-z0-9]+)*")
 
 
@@ -105,15 +107,23 @@ class Model:
         casual += [[str(w) for w in rng.permutation(words)] for words in casual for _ in range(30)]
         template_words = [w for texts in TEMPLATES.values() for t in texts for w in paragraph_words(t)]
         casual += [[str(w) for w in rng.choice(template_words, 6)] + [str(w) for w in rng.choice(filler, 6)] for _ in range(400)]
-        for words in [*(w for w in corpus if self.confirm(w)[1] < LEAST_COVER), *casual]:
-            rows.append(words)
-            truth.append(unknown)
         # Only template n-grams have weights: other words say nothing about a licence.
         grams = sorted({g for texts in self.templates.values() for t in texts for g in t} | {(w,) for w in template_words})
         self.vocabulary = sorted({w for g in grams for w in g})
-        place = {w: i for i, w in enumerate(self.vocabulary)}
+        self.place = place = {w: i for i, w in enumerate(self.vocabulary)}
         codes = np.array([self.code(place[g[0]], place[g[1]] if len(g) > 1 else -1) for g in grams], np.int64)
         self.codes = np.sort(codes)
+        #: Each template's family, words and, a row a template, its word pairs among the codes.
+        self.family_of = np.array([label for label, family in enumerate(TEMPLATES) for _ in TEMPLATES[family]])
+        self.words_of = [len(paragraph_words(t)) for texts in TEMPLATES.values() for t in texts]
+        self.pairs_of = np.array([np.isin(self.codes, [self.code(place[a], place[b]) for a, b in t]) for texts in self.templates.values() for t in texts])
+        split = pc.utf8_split_whitespace(pc.utf8_lower(pa.array(others, pa.string())))
+        ids, line = self.word_stream(split)
+        wrapped = {k for low, high, _, _ in self.wrapped(ids, line, np.zeros(len(others), np.int64)) for k in line[low:high].tolist()}
+        plain = [w for k, w in enumerate(map(paragraph_words, others)) if w and k not in wrapped]
+        for words in [*(w for w in plain if self.confirm(w)[1] < LEAST_COVER), *casual]:
+            rows.append(words)
+            truth.append(unknown)
         design = np.zeros((len(rows), len(codes) + 1), np.float32)
         design[:, -1] = 1
         for i, words in enumerate(rows):
@@ -181,14 +191,94 @@ class Model:
                     best = (name, cover)
         return best
 
-    def scan(self, texts: pa.Array) -> list[tuple[int, str, str, float, float]]:
+    def word_stream(self, split: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(place in the vocabulary or -1, line) of paragraph_words of lines that are split at white space."""
+        coded = split.flatten().dictionary_encode()
+        parts = [paragraph_words(token) for token in coded.dictionary.to_pylist()]
+        many = np.array([len(p) for p in parts], np.int64)
+        known = np.array([self.place.get(w, -1) for p in parts for w in p], np.int64)
+        token = coded.indices.to_numpy(zero_copy_only=False)
+        if not len(token):
+            return token.astype(np.int64), token.astype(np.int64)
+        size = many[token]
+        line = np.repeat(np.arange(len(split)), pc.list_value_length(split).to_numpy(zero_copy_only=False))
+        at = np.repeat((np.cumsum(many) - many)[token] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        return known[at], np.repeat(line, size)
+
+    def wrapped(self, ids: np.ndarray, line: np.ndarray, text_of: np.ndarray) -> list[tuple[int, int, int, int]]:
+        """(first, past last word, the same with words around) of runs over several lines that cover a template.
+
+        Adjacent lines of a text are put together up to a line without words. A run starts with a pair of
+        the template and takes all its pairs within SPREAD times its words; the words around are of the run's lines.
+        """
+        if len(ids) < 2:
+            return []
+        apart = (line[1:] - line[:-1] > 1) | (text_of[line[1:]] != text_of[line[:-1]])
+        block = np.r_[0, np.cumsum(apart)]
+        pair = np.flatnonzero((ids[:-1] >= 0) & (ids[1:] >= 0) & ~apart)
+        code = (ids[pair] << 20) | (ids[pair + 1] + 1)
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[at] == code
+        pair, at = pair[hit], at[hit]
+        held, of = np.unique(block[pair], return_inverse=True)
+        both = np.unique(of * len(self.codes) + at)
+        owner, gram = both // len(self.codes), both % len(self.codes)
+        out = set()
+        for own, n_words in zip(self.pairs_of, self.words_of, strict=True):
+            least = LEAST_COVER * own.sum()
+            enough = np.bincount(owner[own[gram]], minlength=len(held)) >= least
+            mine = np.flatnonzero(own[at] & enough[of])
+            start, grams, group = pair[mine].tolist(), at[mine].tolist(), of[mine].tolist()
+            inside: dict[int, int] = {}
+            right = 0
+            for left, first in enumerate(start):
+                before = right
+                while right < len(start) and group[right] == group[left] and start[right] + 2 - first <= SPREAD * n_words:
+                    inside[grams[right]] = inside.get(grams[right], 0) + 1
+                    right += 1
+                last = start[right - 1] + 2
+                if right > before and len(inside) >= least and line[first] != line[last - 1]:
+                    low = max(first - AROUND, int(np.searchsorted(line, line[first])))
+                    high = min(last + AROUND, int(np.searchsorted(line, line[last - 1], "right")))
+                    out.add((first, last, low, high))
+                inside[grams[left]] -= 1
+                if not inside[grams[left]]:
+                    del inside[grams[left]]
+        return sorted(out)
+
+    def cover(self, ids: np.ndarray, label: int) -> float:
+        """The share of its word pairs that the family's best-covered template has among these words."""
+        _, at = self.found(ids, np.zeros(len(ids), np.int64))
+        pairs = self.pairs_of[self.family_of == label]
+        return float((pairs[:, at].sum(1) / pairs.sum(1)).max())
+
+    def confirmed_runs(self, ids: np.ndarray, line: np.ndarray, text_of: np.ndarray, least_probability: float) -> list[tuple[int, int, int, float, float]]:
+        """(first, past last word, label, probability, cover) of wrapped notices; of overlapping ones the best covered."""
+        runs = self.wrapped(ids, line, text_of)
+        if not runs:
+            return []
+        owner = np.repeat(np.arange(len(runs)), [high - low for _, _, low, high in runs])
+        chances = self.probabilities(len(runs), *self.found(np.concatenate([ids[low:high] for _, _, low, high in runs]), owner))
+        ranked = []
+        for (first, last, low, high), chance in zip(runs, chances, strict=True):
+            label = int(chance.argmax())
+            if label < len(TEMPLATES) and chance[label] >= least_probability and (cover := self.cover(ids[low:high], label)) >= LEAST_COVER:
+                ranked.append((-cover, last - first, first, last, label, float(chance[label])))
+        taken, out = np.zeros(len(ids), bool), []
+        for cover, _, first, last, label, chance in sorted(ranked):
+            if not taken[first:last].any():
+                taken[first:last] = True
+                out.append((first, last, label, chance, -cover))
+        return sorted(out)
+
+    def scan(self, texts: pa.Array, least_probability: float = 0.5) -> list[tuple[int, str, str, float, float]]:
         """(text, paragraph number, family or unknown, probability, cover) of paragraphs not taken for prose."""
         lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
         counts = pc.list_value_length(lines).to_numpy(zero_copy_only=False)
         flat = lines.flatten()
         split = pc.utf8_split_whitespace(pc.utf8_lower(flat))
         coded = split.flatten().dictionary_encode()
-        place = {w: i for i, w in enumerate(self.vocabulary)}
+        place = self.place
         known = np.array([place.get(w, -1) if w in place else place.get(w.strip(".,;:()[]\"'"), -1) for w in coded.dictionary.to_pylist()] or [-1], np.int64)
         ids = known[coded.indices.to_numpy(zero_copy_only=False)]
         sizes = pc.list_value_length(split).to_numpy(zero_copy_only=False)
@@ -197,14 +287,34 @@ class Model:
         chances = self.probabilities(len(touched), owner, at)
         best = chances.argmax(1)
         text_of = np.repeat(np.arange(len(texts)), counts)
-        first = np.cumsum(counts) - counts
-        out = []
+        single = {}
         for i in np.flatnonzero(best != len(TEMPLATES)).tolist():
             line = int(touched[i])
-            family = FAMILIES[best[i]]
-            _, cover = self.confirm(paragraph_words(flat[line].as_py()), family)
-            out.append((int(text_of[line]), line - int(first[text_of[line]]), family, float(chances[i, best[i]]), cover))
-        return out
+            _, cover = self.confirm(paragraph_words(flat[line].as_py()), FAMILIES[best[i]])
+            single[line] = (int(best[i]), float(chances[i, best[i]]), cover)
+        joined = []
+        stream, line_of = self.word_stream(split)
+        for first, last, label, chance, cover in self.confirmed_runs(stream, line_of, text_of, least_probability):
+            run = range(int(line_of[first]), int(line_of[last - 1]) + 1)
+            rivals, loose = [], []
+            for line in run:
+                if line not in single:
+                    continue
+                if single[line][1] < least_probability or single[line][2] < LEAST_COVER:
+                    loose.append(line)
+                    continue
+                # A line that is confirmed without the run's words is a notice of its own.
+                low, high = np.searchsorted(line_of, [line, line + 1]).tolist()
+                outside = stream[low:high].copy()
+                outside[max(first - low, 0) : max(last - low, 0)] = -1
+                if self.cover(outside, single[line][0]) < LEAST_COVER:
+                    rivals.append(line)
+            if all(cover > single[line][2] for line in rivals):
+                for line in rivals + loose:
+                    del single[line]
+                joined.append((run[0], label, chance, cover))
+        first_line = np.cumsum(counts) - counts
+        return [(int(text_of[line]), line - int(first_line[text_of[line]]), FAMILIES[label], chance, cover) for line, label, chance, cover in sorted([(line, *x) for line, x in single.items()] + joined)]
 
 
 def other_paragraphs(docs: DataFrame, text_column: str = "text", most: int = TRAINING_PARAGRAPHS) -> list[str]:
@@ -221,7 +331,8 @@ def other_paragraphs(docs: DataFrame, text_column: str = "text", most: int = TRA
 def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_probability: float = 0.5, training_paragraphs: int = TRAINING_PARAGRAPHS) -> DataFrame:
     """Licences that each whole text names: id, licenses, n_paragraphs, n_confirmed, n_unconfirmed, found.
 
-    A paragraph is a line. Where the classifier's calibrated probability of a family is least_probability
+    A paragraph is a line, or the adjacent lines (up to one without words) over which a notice is wrapped; it
+    is numbered by its first line, and n_paragraphs counts lines. Where the classifier's calibrated probability of a family is least_probability
     or more and a template of that family is covered by LEAST_COVER or more, the family is confirmed and
     named in licenses (sorted, joined by commas, empty if none); other paragraphs that look like a licence count
     as unconfirmed. found lists paragraph:family:probability of the confirmed ones. A null text counts as
@@ -236,7 +347,7 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             texts = part.column("text")
             found: list[list[tuple[int, str, float]]] = [[] for _ in range(len(texts))]
             other = [0] * len(texts)
-            for at, paragraph, family, chance, cover in model.scan(texts):
+            for at, paragraph, family, chance, cover in model.scan(texts, least_probability):
                 if chance >= least_probability and cover >= LEAST_COVER:
                     found[at].append((paragraph, family, chance))
                 else:
