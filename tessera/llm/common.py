@@ -5,11 +5,13 @@ Nothing outside this subpackage imports it, and it imports nothing from the rest
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +73,24 @@ def slices(batches: Iterable[pa.RecordBatch], column: str, most_bytes: int = 4_0
             yield batch.slice(start)
 
 
+def lean(run):
+    """A function for mapInArrow whose worker gives memory that it no longer needs back to the system when a task ends.
+
+    Workers outlive their tasks; what their allocators keep would count beside the next tasks' memory.
+    """
+
+    def held(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+            if trim:
+                trim(0)
+
+    return held
+
+
 def texts_of(batch: pa.RecordBatch, column: str) -> list[str]:
     """A column's strings, null as empty."""
     return [x or "" for x in batch.column(column).to_pylist()]
@@ -97,15 +117,17 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, id_column: st
     return docs.select(docs[id_column].alias("_q_id"), docs[text_column].alias("text")).join(F.broadcast(chosen), "_q_id")
 
 
-def split_by(rows: DataFrame, needed: DataFrame, bits: int = 22) -> tuple[DataFrame, DataFrame]:
+def split_by(rows: DataFrame, needed: DataFrame, most_bits: int = 26) -> tuple[DataFrame, DataFrame]:
     """The rows whose doc may be among needed's (both bigint doc), and those whose doc is surely not.
 
-    A bitmap of hashed ids, as a table of 2^bits / 64 rows at most whatever the input, goes to every task;
-    it keeps most whole texts out of a join's shuffle. Rows that pass by chance are left to that join. A
-    null doc is surely not among them.
+    A bitmap of hashed ids goes to every task; it keeps most whole texts out of a join's shuffle. It has about 16 bits
+    for each needed id, at most 2^most_bits: a table of 2^most_bits / 64 rows (16 MB) whatever the input. With
+    more ids than that more rows pass by chance; those are left to that join. A null doc is surely not among them.
     """
+    needed = needed.where("doc IS NOT NULL").select("doc")
+    bits = min(most_bits, max(16, (16 * needed.count()).bit_length()))
     place = F.pmod(F.xxhash64("doc"), F.lit(1 << bits))
-    bitmap = needed.where("doc IS NOT NULL").select(F.shiftright(place, 6).alias("word_"), F.pmod(place, F.lit(64)).cast("int").alias("bit_"))
+    bitmap = needed.select(F.shiftright(place, 6).alias("word_"), F.pmod(place, F.lit(64)).cast("int").alias("bit_"))
     bitmap = staged(bitmap.groupBy("word_").agg(F.bit_or(F.expr("shiftleft(1L, bit_)")).alias("bits_")))
     marked = rows.withColumn("word_", F.shiftright(place, 6)).join(F.broadcast(bitmap), "word_", "left")
     bit = F.pmod(place, F.lit(64)).cast("int")
@@ -123,6 +145,33 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def spark_hash(values: np.ndarray) -> np.ndarray:
+    """Spark's hash() of bigints, by which repartition() deals rows out (Murmur3, 32 bits, seed 42)."""
+    rotate = lambda x, r: ((x << np.uint32(r)) | (x >> np.uint32(32 - r))).astype(np.uint32)
+    h = np.full(len(values), 42, np.uint32)
+    bits = values.astype(np.int64).view(np.uint64)
+    with np.errstate(over="ignore"):
+        for half in (bits & np.uint64(0xFFFFFFFF), bits >> np.uint64(32)):
+            k = rotate(half.astype(np.uint32) * np.uint32(0xCC9E2D51), 15) * np.uint32(0x1B873593)
+            h = rotate(h ^ k, 13) * np.uint32(5) + np.uint32(0xE6546B64)
+        h ^= np.uint32(8)
+        h = (h ^ (h >> np.uint32(16))) * np.uint32(0x85EBCA6B)
+        h = (h ^ (h >> np.uint32(13))) * np.uint32(0xC2B2AE35)
+    return (h ^ (h >> np.uint32(16))).view(np.int32)
+
+
+def partition_keys(partitions: int) -> np.ndarray:
+    """For each of so many partitions a bigint that repartition(partitions, key) deals to it.
+
+    Numbers from 0 would leave some partitions empty and put several into others.
+    """
+    keys = np.arange(partitions * (10 + 2 * partitions.bit_length()), dtype=np.int64)
+    found, first = np.unique(spark_hash(keys).astype(np.int64) % partitions, return_index=True)
+    out = np.arange(partitions, dtype=np.int64)  # a partition that no key reaches shares another's
+    out[found] = keys[first]
+    return out
+
+
 def tokenizer_file(name: str) -> str:
     """Path of a public tokenizer's file (TESSERA_TOKENIZERS names another folder)."""
     if folder := os.environ.get("TESSERA_TOKENIZERS"):

@@ -25,3 +25,13 @@ def components(links: DataFrame) -> DataFrame:
         labels = after.select("node", "component")
         if after.where("component <> old").limit(1).count() == 0:
             return labels
+
+
+def merged_components(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) when links (a, b; bigint) join components() that are known: only these are linked anew."""
+    of = lambda side: labels.select(F.col("node").alias(side), F.col("component").alias(f"{side}_"))
+    known = links.join(of("a"), "a", "left").join(of("b"), "b", "left")
+    top = components(known.select(F.coalesce("a_", "a").alias("a"), F.coalesce("b_", "b").alias("b")))
+    moved = labels.join(top.select(F.col("node").alias("component"), F.col("component").alias("top")), "component", "left")
+    fresh = top.join(labels.select("node"), "node", "left_anti")
+    return staged(moved.select("node", F.coalesce("top", "component").alias("component")).union(fresh.select("node", "component")))

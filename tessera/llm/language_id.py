@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_documents, slices
+from tessera.llm.common import lean, read_documents, slices
 
 FEATURE_BITS = 17
 LONGEST_SEQUENCE = 256
@@ -262,7 +262,7 @@ def language_id(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("id"), F.coalesce(fold(docs[id_column]) == 2, F.lit(False)).alias("held_out"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double, n_words bigint, n_switches bigint")
+    return rows.mapInArrow(lean(run), f"`{id_column}` {kind}, held_out boolean, lang_pred string, score double, n_words bigint, n_switches bigint")
 
 
 def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

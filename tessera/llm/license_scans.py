@@ -11,7 +11,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_documents, slices
+from tessera.llm.common import lean, read_documents, slices
 
 # Short notices by which works name their licence.
 TEMPLATES = {
@@ -363,7 +363,7 @@ def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, licenses string, n_paragraphs bigint, n_confirmed bigint, n_unconfirmed bigint, found string")
+    return rows.mapInArrow(lean(run), f"`{id_column}` {kind}, licenses string, n_paragraphs bigint, n_confirmed bigint, n_unconfirmed bigint, found string")
 
 
 def op3_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

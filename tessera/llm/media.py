@@ -12,7 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import read_documents, slices
+from tessera.llm.common import lean, read_documents, slices
 
 SAMPLE_RATE = 8000
 FRAME = 256
@@ -120,7 +120,7 @@ def media_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
             names = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", *["media"] * keep_media, *["fingerprint"] * keep_fingerprints]
             yield pa.RecordBatch.from_arrays([part.column("id"), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=[id_column, *names])
 
-    return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).mapInArrow(lean(run), schema)
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm import bpe
-from tessera.llm.common import hash_modulus, read_documents, shuffle_partitions, slices, staged, texts_of
+from tessera.llm.common import hash_modulus, lean, read_documents, shuffle_partitions, slices, staged, texts_of
 
 SEQUENCE_TOKENS = 2048
 SEPARATOR_ID = 1
@@ -97,7 +97,7 @@ def _pieces(docs: DataFrame, id_column: str, text_column: str, capacity: int, vo
             yield pa.RecordBatch.from_arrays([part.column("id").take(pa.array(at, pa.int64())), *longs], names=[id_column, "start", "length", "ids_crc32", "doc_tokens"])
 
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
+    return rows.mapInArrow(lean(run), f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint")
 
 
 def packed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", capacity: int = SEQUENCE_TOKENS, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -137,7 +137,7 @@ def packed(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text"
             yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(sequence), pa.array(slots["offset"][at])], names=[id_column, "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"])
 
     kind = docs.schema[id_column].dataType.simpleString()
-    return ranked.mapInArrow(place, f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
+    return ranked.mapInArrow(lean(place), f"`{id_column}` {kind}, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint")
 
 
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

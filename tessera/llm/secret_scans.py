@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from tessera.llm.common import read_documents, slices, texts_of
+from tessera.llm.common import lean, read_documents, slices, texts_of
 
 # The base patterns and their least lengths.
 ASSIGN = re.compile(r"""([pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -185,7 +185,7 @@ def secret_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "
     names = ["n_assign", "n_access", "n_hex", "n_random", "base_sha256", "spans", *["redacted"] * redacted]
     kind = docs.schema[id_column].dataType.simpleString()
     schema = f"`{id_column}` {kind}, n_assign bigint, n_access bigint, n_hex bigint, n_random bigint, base_sha256 string, spans string" + ", redacted string" * redacted
-    return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).mapInArrow(run, schema)
+    return docs.select(docs[id_column].alias("id"), docs[text_column].alias("text")).mapInArrow(lean(run), schema)
 
 
 def redacted_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
@@ -197,7 +197,7 @@ def redacted_documents(docs: DataFrame, text_column: str = "text") -> DataFrame:
             texts = [None if t is None else redact(t, spans) if (spans := find_secrets(t)[1]) else t for t in part.column(at).to_pylist()]
             yield part.set_column(at, part.schema.field(at).with_nullable(True), pa.array(texts, part.schema.field(at).type))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lean(run), docs.schema)
 
 
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:

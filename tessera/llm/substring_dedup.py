@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm.common import read_documents, shuffle_partitions, slices, split_by, staged
+from tessera.llm.common import lean, read_documents, shuffle_partitions, slices, split_by, staged
 from tessera.llm.shingles import Words
 
 WINDOW = 20
@@ -195,9 +195,9 @@ def repeated_ranges(docs: DataFrame, id_column: str = "doc_id", text_column: str
     """
     partitions = shuffle_partitions(docs.sparkSession)
     rows = docs.select(docs[id_column].cast("bigint").alias("doc"), F.xxhash64(docs[text_column]).alias("mark"), docs[text_column].alias("text"))
-    sent = rows.mapInArrow(_send(partitions * BUCKETS_EACH, window), _ROW)
+    sent = rows.mapInArrow(lean(_send(partitions * BUCKETS_EACH, window)), _ROW)
     met = sent.repartition(partitions, "bucket").sortWithinPartitions("bucket")
-    return met.mapInArrow(_receive(window), _ROW).select("doc", "mark", "first", "n")
+    return met.mapInArrow(lean(_receive(window)), _ROW).select("doc", "mark", "first", "n")
 
 
 def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, keep_text: bool = False) -> DataFrame:
@@ -235,7 +235,7 @@ def substring_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str
             columns = [pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([part.column("id"), *columns], names=[id_column, "n_words", "n_removed", "kept_sha256", *["kept"] * keep_text])
 
-    return joined.mapInArrow(run, f"`{id_column}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text)
+    return joined.mapInArrow(lean(run), f"`{id_column}` {kind}, n_words bigint, n_removed bigint, kept_sha256 string" + ", kept string" * keep_text)
 
 
 def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

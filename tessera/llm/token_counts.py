@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import bpe
-from tessera.llm.common import read_documents, slices, texts_of
+from tessera.llm.common import lean, read_documents, slices, texts_of
 
 
 def token_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", limit: int = 1024, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
@@ -31,7 +31,7 @@ def token_counts(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
     kind = docs.schema[id_column].dataType.simpleString()
     rows = docs.select(docs[id_column].alias("id"), docs[text_column].alias("text"))
-    return rows.mapInArrow(run, f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
+    return rows.mapInArrow(lean(run), f"`{id_column}` {kind}, n_bytes bigint, n_tokens bigint, over_limit boolean")
 
 
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
