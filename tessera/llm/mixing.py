@@ -23,7 +23,7 @@ VOCABULARY = 96
 TARGETS = {"good": 0.92, "low": 0.03, "toxic": 0.05}
 RIDGE = 1e-3
 MOST_ROUNDS = 60
-TOLERANCE = 1e-4
+TOLERANCE = 1e-9
 
 
 def domain_labels(labels: DataFrame) -> DataFrame:
@@ -33,15 +33,15 @@ def domain_labels(labels: DataFrame) -> DataFrame:
 
 
 def _with_evidence(rows: DataFrame) -> DataFrame:
-    """Add _m_words, _m_unique and _m_shapes (marks of a text's shape) to rows with text."""
+    """Add _m_words, _m_unique and _m_shapes (marks of a text's shape; no word holds a blank) to rows with text."""
     out = rows.withColumn("_m_text", F.coalesce(F.col("text"), F.lit("")))
     out = out.withColumn("_m_words", words_column(F.col("_m_text")))
     out = out.withColumn("_m_unique", F.array_distinct("_m_words"))
     n = F.size("_m_words")
     flags = {
-        "#symbols": count_of(F.col("_m_text"), SYMBOLS) * 10 > n,
-        "#same": F.size("_m_unique") * 10 < n * 3,
-        "#short": n < 10,
+        " symbols": count_of(F.col("_m_text"), SYMBOLS) * 10 > n,
+        " same": F.size("_m_unique") * 10 < n * 3,
+        " short": n < 10,
     }
     return out.withColumn("_m_shapes", F.filter(F.array(*(F.when(holds, F.lit(name)) for name, holds in flags.items())), lambda x: x.isNotNull()))
 
@@ -137,41 +137,70 @@ def memberships(docs: DataFrame, classifier: Classifier, id_column: str = "doc_i
     return _posteriors(rows, classifier, "_m_id").withColumnRenamed("_m_id", id_column)
 
 
-def fit_rates(members: DataFrame, targets: list[float], anchor: int | None = None, ridge: float = RIDGE, most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> tuple[Column, list[float]]:
-    """Nonnegative document rates whose expected domain totals match the targets.
+@dataclass(frozen=True)
+class Rates:
+    """A document's rate is 1 less its posteriors' sum weighted by prices, 0 at least; shares are the totals it reaches."""
+
+    prices: tuple[float, ...]
+    shares: tuple[float, ...]
+    rounds: int
+
+    def column(self) -> Column:
+        """The rate as an expression of p_0, p_1, ..."""
+        return F.greatest(F.lit(0.0), F.lit(1.0) - reduce(add, (F.col(f"p_{i}") * price for i, price in enumerate(self.prices))))
+
+    @property
+    def largest(self) -> float:
+        """No document's rate is larger, as posteriors add up to 1."""
+        return max(0.0, 1.0 - min(self.prices))
+
+
+def wanted_totals(present: list[float], targets: list[float], anchor: int | None = None) -> list[float]:
+    """Targets as totals, where present are the domains' shares of all tokens.
+
+    They are shares of as many tokens as there are, or, with an anchor, of as many as leave that domain's
+    total as it is. A domain without tokens can't be raised: its target goes to the others in proportion.
+    """
+    wanted = [t if a > 0 else 0.0 for t, a in zip(targets, present, strict=True)]
+    whole = wanted[anchor] / present[anchor] if anchor is not None and wanted[anchor] > 0 else sum(wanted) or 1.0
+    return [t / whole for t in wanted]
 
-    Targets are shares of as many tokens as there are, or, with an anchor, of as many as leave that domain's
-    total as it is.
 
-    Minimises sum_c ((S_c - t_c)^2 / a_c) / 2 + ridge/2 * sum_d w_d (r_d - 1)^2, where w_d is the document's
-    share of tokens, S_c = sum_d w_d r_d p_dc and a_c is S_c at rate 1, by projected gradient in the metric
-    of w. In that metric the curvature is at most 1 + ridge, so the step is fixed. A document's rate is a
-    function of its posteriors and of the rounds' gradients (one number a domain each), so the table of
-    memberships is never written again: each round is one aggregation of one row. Returns the rate as an
-    expression of p_*, and the shares it reaches.
+def fit_rates(members: DataFrame, targets: list[float], anchor: int | None = None, ridge: float = RIDGE, most_rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> Rates:
+    """Nonnegative document rates whose expected domain totals match the targets (see wanted_totals).
+
+    Minimises sum_c ((S_c - t_c)^2 / a_c) / 2 + ridge/2 * sum_d w_d (r_d - 1)^2 over r >= 0, where w_d is the
+    document's share of tokens, S_c = sum_d w_d r_d p_dc and a_c is S_c at rate 1, by projected gradient with
+    lazy projection: the steps add up before they are projected on r >= 0. In the metric of w a step is a
+    combination of the document's posteriors, so all steps so far are one price a domain, and neither the plan nor
+    what the driver holds grows with the rounds. Each round is one aggregation of one row: the totals, and
+    the second moments of the documents with a positive rate, by which the step is scaled. Rounds end when no
+    price moves by more than tolerance; from round 20 on steps are halved, which ends cycles.
     """
     k = len(targets)
     p = [F.col(f"p_{i}") for i in range(k)]
     n = F.col("n_tokens").cast("double")
     base = members.agg(F.sum(n).alias("n"), *(F.sum(n * p[i]).alias(f"t{i}") for i in range(k))).first()
     tokens = base["n"] or 0.0
-    rate = F.lit(1.0)
+    rates = Rates((0.0,) * k, (0.0,) * k, 0)
     if not tokens:
-        return rate, [0.0] * k
-    present = [base[f"t{i}"] / tokens for i in range(k)]
-    # A domain without tokens can't be raised: its target goes to the others in proportion.
-    wanted = [t if a > 0 else 0.0 for t, a in zip(targets, present, strict=True)]
-    whole = wanted[anchor] / present[anchor] if anchor is not None and wanted[anchor] > 0 else sum(wanted) or 1.0
-    wanted = [t / whole for t in wanted]
-    shares, step = present, 1 / (1 + ridge)
-    for _ in range(most_rounds):
-        slope = [(s - t) / a if a > 0 else 0.0 for s, t, a in zip(shares, wanted, present, strict=True)]
-        rate = F.greatest(F.lit(0.0), rate * (1 - step * ridge) + step * ridge - step * reduce(add, (p[i] * slope[i] for i in range(k))))
-        row = members.agg(*(F.sum(n * rate * p[i]).alias(f"t{i}") for i in range(k))).first()
-        before, shares = shares, [row[f"t{i}"] / tokens for i in range(k)]
-        if max(abs(s - b) / max(t, 1e-6) for s, b, t in zip(shares, before, wanted, strict=True)) < tolerance:
+        return rates
+    present = np.array([base[f"t{i}"] / tokens for i in range(k)])
+    wanted = np.array(wanted_totals(present.tolist(), targets, anchor))
+    scale = np.where(present > 0, 1 / np.maximum(present, 1e-300), 0.0)
+    for done in range(1, most_rounds + 1):
+        rate = rates.column()
+        moments = [F.sum(F.when(rate > 0, n * p[i] * p[j]).otherwise(0.0)).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)]
+        row = members.agg(*(F.sum(n * rate * p[i]).alias(f"t{i}") for i in range(k)), *moments).first()
+        shares = np.array([row[f"t{i}"] / tokens for i in range(k)])
+        moment = np.array([[row[f"m{min(i, j)}_{max(i, j)}"] / tokens for j in range(k)] for i in range(k)])
+        prices = np.array(rates.prices)
+        gradient = ridge * prices - scale * (shares - wanted)
+        step = np.linalg.solve(ridge * np.eye(k) + scale[:, None] * moment, gradient)
+        rates = Rates(tuple((prices - (0.5 if done >= 20 else 1.0) * step).tolist()), tuple(shares.tolist()), done)
+        if np.abs(step).max() <= tolerance:
             break
-    return rate, shares
+    return rates
 
 
 def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_column: str = "doc_id", text_column: str = "text", training_rows: int = TRAINING_ROWS, anchor: str | None = None) -> DataFrame:
@@ -180,44 +209,52 @@ def mixed(docs: DataFrame, labels: DataFrame, targets: dict[str, float], id_colu
     copies is rate rounded down or up at random in proportion (by a hash of id), so that copies follow
     the rate in expectation. Null or empty texts have 0 tokens and the prior's posteriors; rows with a null
     or repeated id are each weighed (equal id and text give equal results); an empty table gives no rows;
-    a domain that targets don't name gets 0. With an anchor, that domain's total stays (see fit_rates).
+    a domain that targets don't name gets 0. With an anchor, that domain's total stays (see wanted_totals).
     """
     classifier = fit_classifier(docs, labels, id_column, text_column, training_rows)
     members = staged(memberships(docs, classifier, id_column, text_column))
-    return _weighed(members, classifier, targets, id_column, anchor)
+    rate = _fitted(members, classifier, targets, anchor).column()
+    k = len(classifier.domains)
+    top = F.greatest(*(F.col(f"p_{i}") for i in range(k))) if k > 1 else F.col("p_0")
+    domain = reduce(lambda found, i: found.when(F.col(f"p_{i}") == top, classifier.domains[i]), range(1, k), F.when(F.col("p_0") == top, classifier.domains[0]))
+    out = members.select(id_column, "n_tokens", domain.alias("domain"), *(F.round(f"p_{i}", 9).alias(f"p_{d}") for i, d in enumerate(classifier.domains)), F.round(rate, 6).alias("rate"))
+    return out.withColumn("copies", F.floor(F.col("rate") + _chance(F.col(id_column))))
+
 
+def _chance(id_: Column) -> Column:
+    """A number from 0 to 1 by a hash of the id."""
+    return F.pmod(F.xxhash64(id_, F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
 
-def _weighed(members: DataFrame, classifier: Classifier, targets: dict[str, float], id_column: str, anchor: str | None) -> DataFrame:
+
+def _fitted(members: DataFrame, classifier: Classifier, targets: dict[str, float], anchor: str | None) -> Rates:
     wanted = [float(targets.get(d, 0.0)) for d in classifier.domains]
     if not sum(wanted):
         wanted = [1.0] * len(wanted)
-    rate, _ = fit_rates(members, wanted, classifier.domains.index(anchor) if anchor in classifier.domains else None)
-    top = F.greatest(*(F.col(f"p_{i}") for i in range(len(wanted)))) if len(wanted) > 1 else F.col("p_0")
-    domain = reduce(lambda found, i: found.when(F.col(f"p_{i}") == top, classifier.domains[i]), range(1, len(wanted)), F.when(F.col("p_0") == top, classifier.domains[0]))
-    chance = F.pmod(F.xxhash64(F.col(id_column), F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
-    out = members.select(id_column, "n_tokens", domain.alias("domain"), *(F.round(f"p_{i}", 9).alias(f"p_{d}") for i, d in enumerate(classifier.domains)), F.round(rate, 6).alias("rate"))
-    return out.withColumn("copies", F.floor(F.col("rate") + chance))
+    return fit_rates(members, wanted, classifier.domains.index(anchor) if anchor in classifier.domains else None)
 
 
-def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str, sure: float = 0.85, training_rows: int = TRAINING_ROWS) -> DataFrame:
+def mixed_documents(docs: DataFrame, labels: DataFrame, targets: dict[str, float], anchor: str, training_rows: int = TRAINING_ROWS) -> DataFrame:
     """docs thinned to the targets: the same columns, each row at most once.
 
-    The anchor domain's total stays, so its documents have rates near 1. A row stays if its rate is `sure` or
-    more, else with its rate as the chance (by a hash of doc_id); a rate above 1 repeats nothing. Rates come
-    from memberships, which are written once; the final pass weighs each row by its own text, so no join
-    of texts is needed and rows with null or repeated ids are each judged.
+    A row stays with its rate, as a share of the largest rate that there can be, as the chance (by a hash of
+    doc_id). So nothing is repeated, and the domains' expected tokens stand in the targets' proportions exactly
+    as after op2's copies; a document that is surely of the scarcest domain stays for certain. Rates are fitted with
+    the anchor's total kept, so that its documents have rates near the largest.
+
+    Null and empty texts have no tokens and the prior's posteriors, and are thinned by these; rows that share an id
+    and text stay or go together, and rows with a null id are judged by their text; an empty table gives no rows; without
+    usable labels, or targets for the labels' domains, all rows stay. Other columns pass through, whatever their
+    names. Rates come from memberships, which are written once; the final pass weighs each row by its own
+    text, so no join of texts is needed.
     """
     classifier = fit_classifier(docs, labels, training_rows=training_rows)
-    members = staged(memberships(docs, classifier))
-    wanted = [float(targets.get(d, 0.0)) for d in classifier.domains]
-    if not sum(wanted):
+    if not any(targets.get(d) for d in classifier.domains):
         return docs
-    rate, _ = fit_rates(members, wanted, classifier.domains.index(anchor) if anchor in classifier.domains else None)
+    rates = _fitted(staged(memberships(docs, classifier)), classifier, targets, anchor)
     whole = docs.select(F.struct("*").alias("_m_row"), F.col("doc_id").alias("_m_id"), F.col("text"))
-    weighed = _posteriors(whole, classifier, "_m_row", "_m_id").withColumn("_m_at", F.monotonically_increasing_id()).withColumn("_m_rate", F.round(rate, 6))
-    chance = F.pmod(F.xxhash64(F.col("_m_id"), F.lit(2)), F.lit(1 << 30)) / float(1 << 30)
+    weighed = _posteriors(whole, classifier, "_m_row", "_m_id").withColumn("_m_at", F.monotonically_increasing_id()).withColumn("_m_rate", rates.column())
     # _m_at isn't deterministic to the optimizer, so the filter stays above the projection of the posteriors.
-    return weighed.where((F.col("_m_at") >= 0) & ((F.col("_m_rate") >= sure) | (F.col("_m_rate") > chance))).select("_m_row.*")
+    return weighed.where((F.col("_m_at") >= 0) & (F.col("_m_rate") >= rates.largest * _chance(F.col("_m_id")))).select("_m_row.*")
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -276,8 +276,13 @@ def judged(docs: DataFrame, rules: DecisionList, text_column: str = "text") -> D
 
 
 def kept_documents(docs: DataFrame, rules: DecisionList, text_column: str = "text") -> DataFrame:
-    """The rows that neither the base rules nor the learned ones reject, with their own columns."""
-    return judged(docs, rules, text_column).where(F.col("kept") & (F.col("_q_row") >= 0)).select(docs.columns)
+    """The rows that neither the base rules nor the learned ones reject, with their own columns.
+
+    Null and empty texts fail the base rule and go; repeated rows and rows that share an id are each judged, and stay
+    or go together; an empty table gives no rows. Other columns pass through unread, whatever their names.
+    """
+    rows = docs.select(F.struct("*").alias("_q_whole"), docs[text_column].alias("text"))
+    return judged(rows, rules, "text").where(F.col("kept") & (F.col("_q_row") >= 0)).select("_q_whole.*")
 
 
 def quality(docs: DataFrame, rules: DecisionList, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

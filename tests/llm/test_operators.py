@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 
 from tessera.llm import (
-    bpe, jaccard_join, language_id, license_scans, media, mixing, packing, quality_rules, secret_scans, shingles, substring_dedup, token_counts,
+    bpe, jaccard_join, language_id, license_scans, media, mixing, packing, partenum, quality_rules, secret_scans, shingles, substring_dedup, token_counts,
 )
 from tessera.llm.components import components
 
@@ -276,11 +276,11 @@ def test_sketches_and_signatures_lose_no_similar_pair():
     for percent in (80, 90):
         for size in [*range(1, 40), 60, 150, 700]:
             a = np.unique(shingles.mix(rng.integers(0, 2**63, size).astype(np.uint64)))
-            drop = int(rng.integers(0, jaccard_join.most_distance(len(a), percent) + 1))
+            drop = int(rng.integers(0, partenum.most_distance(len(a), percent) + 1))
             b = np.sort(np.r_[rng.permutation(a)[: len(a) - drop // 2], shingles.mix(rng.integers(0, 2**63, drop - drop // 2).astype(np.uint64))])
-            if jaccard_join.similar(a, b, percent):
-                assert jaccard_join.sketches_allow(jaccard_join.sketch(a, percent), len(a), jaccard_join.sketch(b, percent), len(b), percent)
-                assert np.intersect1d(jaccard_join.signatures(a, percent), jaccard_join.signatures(b, percent)).size
+            if partenum.similar(a, b, percent):
+                assert partenum.sketches_allow(partenum.sketch(a, percent), len(a), partenum.sketch(b, percent), len(b), percent)
+                assert np.intersect1d(partenum.signatures(a, percent), partenum.signatures(b, percent)).size
 
 
 def test_jaccard_of_odd_rows(odd, empty):
@@ -371,6 +371,35 @@ def test_mixing_meets_targets(spark):
     assert all(r.rate >= 0 and abs(sum(r[f"p_{d}"] for d in mixing.TARGETS) - 1) < 1e-6 for r in found)
 
 
+def test_rates_are_those_of_plain_projected_gradient(spark):
+    rng = np.random.default_rng(6)
+    n, ridge = rng.integers(1, 400, 500), 1e-2
+    p = rng.dirichlet([0.3, 0.2, 0.2], 500)
+    members = spark.createDataFrame([(int(w), *map(float, q)) for w, q in zip(n, p, strict=True)], "n_tokens bigint, p_0 double, p_1 double, p_2 double")
+    for targets, anchor in (([0.92, 0.03, 0.05], None), ([0.92, 0.03, 0.05], 0), ([1.0, 0.0, 0.0], None)):
+        w = n / n.sum()
+        present = w @ p
+        wanted = np.array(mixing.wanted_totals(present.tolist(), targets, anchor))
+        rate = np.ones(500)
+        for _ in range(20_000):
+            rate = np.maximum(0, rate - 0.9 * (p @ (((w * rate) @ p - wanted) / present) + ridge * (rate - 1)))
+        found = mixing.fit_rates(members, targets, anchor, ridge)
+        assert np.allclose(np.maximum(0, 1 - p @ np.array(found.prices)), rate, atol=1e-6) and found.rounds < 20
+        assert found.largest >= rate.max() and np.allclose(found.shares, (w * rate) @ p, atol=1e-6)
+
+
+def test_thinned_documents_meet_the_targets(spark):
+    folder = "/root/testdata/sf0.1"
+    source, marks = spark.read.parquet(f"{folder}/documents.parquet"), mixing.domain_labels(spark.read.parquet(f"{folder}/labels.parquet"))
+    shares = {r.doc_id: r for r in mixing.mixed(source, marks, mixing.TARGETS).collect()}
+    kept = [shares[r.doc_id] for r in mixing.mixed_documents(source, marks, mixing.TARGETS, "good").select("doc_id").collect()]
+    total = sum(r.n_tokens for r in kept)
+    for domain, share in mixing.TARGETS.items():
+        assert abs(sum(r.n_tokens * r[f"p_{domain}"] for r in kept) / total - share) < 0.01
+    good = [r._q_id for r in marks.where("_q_label = 'good'").collect()]
+    assert sum(r.domain == "good" for r in kept) > 0.9 * sum(r.domain == "good" for r in shares.values()) and len({r.doc_id for r in kept} & set(good)) > 0.9 * len(good)
+
+
 def test_mixing_of_odd_rows(odd, empty, labels):
     marks = mixing.domain_labels(labels)
     assert len(mixing.mixed(odd, marks, mixing.TARGETS).collect()) == len(ODD)
@@ -389,6 +418,35 @@ def test_license_scan(docs, odd, empty):
 
 
 # ---- pipeline
+CLASHING = ("n_words", "kept", "rule", "doc", "row", "component_id", "rate", "p_0", "_q_row", "_m_rate")
+
+
+@pytest.mark.parametrize("name", ["quality rules", "n-gram Jaccard join", "secret scans", "mixing sources to target weights", "packing"])
+def test_pipeline_stages_on_odd_empty_and_clashing_rows(odd, empty, spark, name):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    stage = dict(corpus_pipeline.STAGES)[name]
+    mine = odd.withColumns({c: F.lit(f"{c} of mine") for c in CLASHING})
+    found = stage(spark, mine, FOLDER)
+    assert stage(spark, empty.withColumns({c: F.lit(c) for c in CLASHING}), FOLDER).collect() == []
+    if name == "packing":
+        assert collections.Counter(r.doc_id for r in found.where("start = 0").collect()) == collections.Counter(d[0] for d in ODD)
+        return
+    assert found.columns == mine.columns
+    kept = found.collect()
+    assert all(r[c] == f"{c} of mine" for r in kept for c in CLASHING)
+    ids = collections.Counter(r.doc_id for r in kept)
+    if name == "quality rules":
+        assert not set(ids) & {2, 3, 7} and ids[1] == 1
+    elif name == "n-gram Jaccard join":
+        assert ids == collections.Counter({1: 1, 2: 1, 3: 1, None: 1, 4: 1, 6: 1, 7: 1})
+    elif name == "secret scans":
+        assert ids == collections.Counter(d[0] for d in ODD) and all((r.text is None) == (r.doc_id == 2) for r in kept)
+    else:
+        assert not ids - collections.Counter(d[0] for d in ODD) and ids[5] in (0, 2)
+
+
 def test_pipeline_stages(spark, docs):
     import corpus_pipeline
 
