@@ -15,7 +15,11 @@ from tessera.llm.common import read_documents, staged
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the learned rules and the base rules keep."""
+    """Documents that the learned rules and the base rules keep.
+
+    Null and empty texts fail the base rule and go; repeated rows are each judged, and stay or go together; an empty
+    table gives no rows; extra columns pass through, whatever their names.
+    """
     rules = quality_rules.learn(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return quality_rules.kept_documents(docs, rules)
 
@@ -23,27 +27,38 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each class of near duplicates (five-word shingles, Jaccard 0.8) the document with the smallest id.
 
-    Rows with a null id stay; rows that share an id are one document and stay or go together.
+    Rows with a null id and texts without words stay; rows that share an id are one document and stay or go
+    together; an empty table gives no rows; extra columns pass through, whatever their names.
     """
-    classes = jaccard_join.jaccard_classes(docs, length=5, percent=80, fineness=2)
-    gone = classes.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    return jaccard_join.distinct_documents(docs, length=5, percent=80)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, secrets replaced by [SECRET] and n_chars counted anew."""
+    """All documents, secrets replaced by [SECRET] and n_chars counted anew.
+
+    Null and empty texts stay as they are (n_chars of a null text too); repeated rows and null ids are each cleaned;
+    an empty table gives no rows; extra columns pass through, whatever their names.
+    """
     cleaned = secret_scans.redacted_documents(docs)
     return cleaned.withColumn("n_chars", F.coalesce(F.length("text").cast(docs.schema["n_chars"].dataType), "n_chars")).select(docs.columns)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents thinned so that domains' expected tokens match mixing.TARGETS; good documents stay."""
+    """Documents thinned by their rates, so that domains' expected tokens match mixing.TARGETS.
+
+    Null and empty texts have the prior's posteriors; rows that share id and text stay or go together; an empty table
+    gives no rows; without usable labels all rows stay; extra columns pass through, whatever their names.
+    """
     labels = mixing.domain_labels(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return mixing.mixed_documents(docs, labels, mixing.TARGETS, anchor="good").select(docs.columns)
+    return mixing.mixed_documents(docs, labels, mixing.TARGETS, anchor="good")
 
 
 def packs(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The remaining documents' pieces in sequences of 2048 tokens."""
+    """The remaining documents' pieces in sequences of 2048 tokens.
+
+    A null or empty text is its closing token alone; repeated rows and null ids stay rows of their own; an empty table
+    gives no rows; extra columns are not read.
+    """
     return packing.packed(docs)
 
 
