@@ -7,6 +7,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+from tessera.plans.syntax import statements
 from tessera.session import Session
 
 
@@ -23,7 +24,7 @@ def main(args: list[str]) -> int:
     session = Session(SparkSession.builder.getOrCreate())
     for path in sorted(Path(args[0]).glob("*.parquet")):
         session.register(path.stem, session.spark.read.parquet(str(path)))
-    for statement in filter(str.strip, args[1].split(";")):
+    for statement in statements(args[1]):
         df = session.sql(statement)
         print("\t".join(df.columns))
         for row in df.toLocalIterator(prefetchPartitions=True):

@@ -113,7 +113,21 @@ def _twice():
 
 
 def udaf_product(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _read(spark, sf_dir, "nation").groupBy(F.col("n_regionkey").cast("bigint").alias("r")).agg(F.product(F.col("n_nationkey") + 1).alias("p"))
+    from tessera.queries import session
+
+    def product(v: pd.Series) -> int:
+        return int(v.prod())
+
+    own = session(spark, sf_dir)
+    own.function("product_of", F.pandas_udf(product, "bigint"), _long())
+    return own.sql("SELECT n_regionkey AS r, product_of(n_nationkey + 1) AS p FROM nation GROUP BY n_regionkey")
+
+
+def graph_edge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Edges after nodes and edges came and went."""
+    g = _graph(spark, sf_dir)
+    g = g.add_nodes(spark.createDataFrame([(100, "new")], "id bigint, label string")).add_edges(spark.createDataFrame([(-1, 100, 4, "rich", 1.0)], "id bigint, source bigint, target bigint, label string, weight double"))
+    return g.remove_nodes(spark.range(3, 5)).remove_edges(spark.range(10, 20)).edges
 
 
 def x_tumbling(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +144,7 @@ def x_topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (vec_topk, vec_topk_filtered, spatial_overlaps, json_int, json_text, json_contains, extractor_multi, fn_ts_delta, graph_edge_fields, graph_neighbors, graph_reachable, graph_shortest, udf_scalar, udaf_product, x_tumbling, x_sessions, x_topk_per_group)
+    named = (vec_topk, vec_topk_filtered, spatial_overlaps, json_int, json_text, json_contains, extractor_multi, fn_ts_delta, graph_edge_fields, graph_neighbors, graph_reachable, graph_shortest, graph_edge_changes, udf_scalar, udaf_product, x_tumbling, x_sessions, x_topk_per_group)
     return {f.__name__: f for f in named}
 
 
@@ -150,7 +164,8 @@ def oracle_sql() -> dict[str, str]:
         "graph_reachable": walk.format(n=3) + "SELECT node_id, min(depth) AS depth FROM w GROUP BY node_id",
         "graph_shortest": walk.format(n=6) + "SELECT coalesce(min(depth), -1) AS hops FROM w WHERE node_id = 17",
         "udf_scalar": "SELECT o_orderkey, o_custkey * 2 AS v FROM orders",
-        "udaf_product": "SELECT CAST(n_regionkey AS BIGINT) AS r, product(n_nationkey + 1) AS p FROM nation GROUP BY 1",
+        "udaf_product": "SELECT CAST(n_regionkey AS BIGINT) AS r, CAST(product(n_nationkey + 1) AS BIGINT) AS p FROM nation GROUP BY 1",
+        "graph_edge_changes": "SELECT * FROM (" + _EDGES + ") WHERE source NOT IN (3, 4) AND target NOT IN (3, 4) AND (id < 10 OR id >= 20)",
         "x_tumbling": "SELECT event_type, count(*) AS n, strftime(time_bucket(INTERVAL 1 HOUR, ts), '%Y-%m-%d %H:%M') AS start FROM events GROUP BY 1, 3",
         "x_sessions": "WITH f AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER w < INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), s AS (SELECT user_id, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM f) SELECT n, count(*) AS sessions FROM (SELECT user_id, k, count(*) AS n FROM s GROUP BY 1, 2) GROUP BY 1",
         "x_topk_per_group": "SELECT o_custkey, o_orderkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS r FROM orders) WHERE r <= 2",

@@ -5,6 +5,7 @@ from __future__ import annotations
 import threading
 import uuid
 from collections.abc import Callable, Iterator
+from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
@@ -23,9 +24,13 @@ class Session:
         self._tables: dict[str, tuple[str, T.StructType]] = {}
         self._functions: dict[str, Any] = {}
         self._lowered: dict[tuple, str] = {}
+        self._rowids: dict[str, str] = {}
 
-    def register(self, name: str, df: DataFrame) -> None:
-        """Make a DataFrame a table; names are lower-cased."""
+    def register(self, name: str, df: DataFrame, rowid: str | None = None) -> None:
+        """Make a DataFrame a table; names are lower-cased. rowid names its integer primary key, if it has one."""
+        self._rowids.pop(name.lower(), None)
+        if rowid:
+            self._rowids[name.lower()] = rowid.lower()
         view = f"tessera_{self._id}_{name.lower()}"
         df.createOrReplaceTempView(view)
         self._tables[name.lower()] = (f"`{view}`", df.schema)
@@ -40,9 +45,10 @@ class Session:
         return sorted(self._tables)
 
     def function(self, name: str, function: Callable, returns: T.DataType) -> None:
-        """Register a scalar function (a pandas or Arrow UDF, or a Python callable) for SQL."""
-        self.spark.udf.register(name.lower(), function) if hasattr(function, "returnType") else self.spark.udf.register(name.lower(), function, returns)
-        self._functions[name.lower()] = kind_of(returns)
+        """Register a scalar or aggregate function (a pandas or Arrow UDF, or a Python callable) for this session's SQL."""
+        physical = f"tessera_{self._id}_{name.lower()}"  # Spark's registry is shared by all sessions
+        self.spark.udf.register(physical, function) if hasattr(function, "returnType") else self.spark.udf.register(physical, function, returns)
+        self._functions[name.lower()] = (physical, kind_of(returns))
         self._lowered.clear()
 
     def lower(self, text: str, params: Any = None) -> str:
@@ -51,7 +57,7 @@ class Session:
         if key not in self._lowered:
             if len(self._lowered) >= 256:
                 self._lowered.clear()
-            self._lowered[key] = Lowering(self._tables.get, params, self._functions).query(parse_query(text))[0]
+            self._lowered[key] = Lowering(self._tables.get, params, self._functions, self._rowids).query(parse_query(text))[0]
         return self._lowered[key]
 
     def sql(self, text: str, params: Any = None) -> DataFrame:
@@ -95,6 +101,29 @@ class Session:
                 break
         return n
 
-    def cursor(self, text: str, params: Any = None) -> Iterator[Row]:
+    def cursor(self, text: str, params: Any = None) -> Cursor:
         """Rows one after another, a partition at a time on the driver."""
-        return self.sql(text, params).toLocalIterator(prefetchPartitions=True)
+        return Cursor(self.sql(text, params))
+
+
+class Cursor:
+    """Rows of a query in order: iterate, or fetch so many at a time; close ends it."""
+
+    def __init__(self, df: DataFrame):
+        self.columns = df.columns
+        self._rows: Iterator[Row] | None = df.toLocalIterator(prefetchPartitions=True)
+
+    def __iter__(self) -> Iterator[Row]:
+        return self
+
+    def __next__(self) -> Row:
+        if self._rows is None:
+            raise EngineError("state", "the cursor is closed")
+        return next(self._rows)
+
+    def fetch(self, n: int) -> list[Row]:
+        """The next n rows, fewer at the end."""
+        return list(islice(self, n))
+
+    def close(self) -> None:
+        self._rows = None

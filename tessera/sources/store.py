@@ -12,15 +12,17 @@ import uuid
 from copy import deepcopy
 from typing import Any
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import EngineError
 from tessera.plans.lowering import Lowering, Scope, Source, kind_of, quoted, type_sql
-from tessera.plans.syntax import Parser, Query, Select
+from tessera.plans.syntax import Parser, Query, Select, statements
 from tessera.session import Session
 
+#: Bytes of Parquet that VACUUM puts into one file, about.
+COMPACT_BYTES = 128 << 20
 _KINDS = {"integer": "int", "int": "int", "bigint": "int", "real": "real", "text": "text", "varchar": "text", "date": "date", "blob": "blob", "vector": "vector"}
 
 
@@ -67,24 +69,35 @@ class Store:
             stream.close()
 
     def _commit(self) -> None:
-        target = self._path(f"{self.root}/manifests/{self._base + 1}.json")
-        data = json.dumps(self._tables).encode()
+        """Write the manifest aside and rename it, without overwriting, to the next number: it is there whole or not at all."""
+        folder = f"{self.root}/manifests"
+        target, aside = self._path(f"{folder}/{self._base + 1}.json"), self._path(f"{folder}/.{uuid.uuid4().hex}.new")
+        stream = self._fs.create(aside, False)
+        stream.write(bytearray(json.dumps(self._tables).encode()))
+        stream.close()
+        sc = self.spark.sparkContext
+        files = sc._jvm.org.apache.hadoop.fs.FileContext.getFileContext(target.toUri(), sc._jsc.hadoopConfiguration())
         try:
-            stream = self._fs.create(target, False)  # fails if it exists: the other writer was first
+            files.rename(aside, target, sc._gateway.new_array(getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename"), 0))
         except Exception as error:
+            self._fs.delete(aside, False)
             self._tables = self._load(self._base)
             raise EngineError("conflict", "another writer committed first") from error
-        stream.write(bytearray(data))
-        stream.close()
         self._base += 1
 
     def snapshot(self) -> Session:
         """A session on the tables as they are now; later commits don't change it."""
         own = Session(self.spark)
-        for name in self._tables:
-            own.register(name, self.frame(name))
+        for name, table in self._tables.items():
+            own.register(name, self.frame(name), self._integer_key(table))
         return own
 
+    @staticmethod
+    def _integer_key(table: dict) -> str | None:
+        """The integer primary key, which rowid also names."""
+        kinds = {c["name"]: c["type"] for c in table["columns"]}
+        return table["primary"][0] if len(table["primary"]) == 1 and kinds[table["primary"][0]] == "BIGINT" else None
+
     def refresh(self) -> None:
         """Read the latest commit (outside a transaction)."""
         if self._open:
@@ -106,14 +119,19 @@ class Store:
         schema = self._schema(table)
         if not table["path"]:
             return self.spark.createDataFrame([], schema)
-        stored = self.spark.read.parquet(table["path"])
+        stored = self.spark.read.schema(schema).parquet(*self._folders(table))
         return stored.select(*(F.col(c.name).cast(c.dataType) for c in schema))
 
+    @staticmethod
+    def _folders(table: dict) -> list[str]:
+        """The folders that make up a table: one, or more after rows were appended."""
+        return table["path"] if isinstance(table["path"], list) else [table["path"]] if table["path"] else []
+
     def _write(self, name: str, rows: DataFrame) -> None:
-        """Check the new rows of a table and make them its version."""
+        """Check the new rows of a table and make them its version. Rows lie in the order of the table's first index."""
         table = self._table(name)
         path = f"{self.root}/tables/{name}/{uuid.uuid4().hex}"
-        rows.write.parquet(path)
+        self._ordered(table, rows).write.parquet(path)
         before = table["path"]
         table["path"] = path
         try:
@@ -122,9 +140,53 @@ class Store:
             table["path"] = before
             raise
 
+    def _append(self, name: str, fresh: DataFrame) -> None:
+        """Add rows as a folder of their own, which alone is checked (keys and references by joins on these rows)."""
+        table = self._table(name)
+        path = f"{self.root}/tables/{name}/{uuid.uuid4().hex}"
+        self._ordered(table, fresh).write.parquet(path)
+        before = table["path"]
+        rows = self.spark.read.schema(self._schema(table)).parquet(path)
+        try:
+            self._check_rows(table, rows)
+            for key in table["keys"]:
+                whole = rows.where(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in key))
+                if not whole.groupBy(*key).count().where("count > 1").isEmpty() or not whole.join(self.frame(name).select(*key), key, "left_semi").isEmpty():
+                    raise EngineError("constraint", f"{', '.join(key)} is not unique")
+            table["path"] = [*self._folders(table), path]
+            for columns, target, target_columns in table["references"]:
+                self._check_reference(name, rows, columns, target, target_columns)
+        except EngineError:
+            table["path"] = before
+            raise
+
+    @staticmethod
+    def _ordered(table: dict, rows: DataFrame) -> DataFrame:
+        """Rows of each file sorted by the table's first index or primary key, so that scans can skip by it."""
+        columns = next(iter(table["indexes"].values()), None) or [[c, False] for c in table["primary"]]
+        keys = [F.col(c).desc() if down else F.col(c).asc() for c, down in columns]
+        return rows.sortWithinPartitions(*keys) if keys else rows
+
+    def _check_reference(self, name: str, rows: DataFrame, columns: list[str], target: str, target_columns: list[str]) -> None:
+        mine = rows.select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).dropna().distinct()
+        theirs = self.frame(target).select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(target_columns)))
+        if not mine.join(theirs, [f"c{i}" for i in range(len(columns))], "left_anti").isEmpty():
+            raise EngineError("constraint", f"{name} refers to rows that {target} lacks")
+
     def _check(self, name: str) -> None:
         """All of a table's constraints: one aggregation, one grouping for each key, anti joins for references."""
         table, rows = self._table(name), self.frame(name)
+        self._check_rows(table, rows)
+        for key in table["keys"]:
+            whole = rows.where(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in key))
+            if not whole.groupBy(*key).count().where("count > 1").isEmpty():
+                raise EngineError("constraint", f"{', '.join(key)} is not unique")
+        for other_name, other in self._tables.items():
+            for columns, target, target_columns in other["references"]:
+                if name in (other_name, target):
+                    self._check_reference(other_name, self.frame(other_name), columns, target, target_columns)
+
+    def _check_rows(self, table: dict, rows: DataFrame) -> None:
         tests = [(f"{c['name']} is null", F.col(c["name"]).isNull()) for c in table["columns"] if not c["null"]]
         for text in table["checks"]:
             tests.append((f"check ({text}) fails", F.expr(f"NOT coalesce({self._check_sql(table, text)}, true)")))
@@ -133,17 +195,6 @@ class Store:
             for i, (message, _) in enumerate(tests):
                 if found[i]:
                     raise EngineError("constraint", message)
-        for key in table["keys"]:
-            whole = rows.where(" AND ".join(f"{quoted(c)} IS NOT NULL" for c in key))
-            if not whole.groupBy(*key).count().where("count > 1").isEmpty():
-                raise EngineError("constraint", f"{', '.join(key)} is not unique")
-        for other_name, other in self._tables.items():
-            for columns, target, target_columns in other["references"]:
-                if name in (other_name, target):
-                    mine = self.frame(other_name).select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(columns))).dropna().distinct()
-                    theirs = self.frame(target).select(*(F.col(c).alias(f"c{i}") for i, c in enumerate(target_columns)))
-                    if not mine.join(theirs, [f"c{i}" for i in range(len(columns))], "left_anti").isEmpty():
-                        raise EngineError("constraint", f"{other_name} refers to rows that {target} lacks")
 
     def _check_sql(self, table: dict, text: str) -> str:
         lowering = Lowering(lambda _: None)
@@ -176,15 +227,7 @@ class Store:
 
     def script(self, text: str) -> list:
         """Statements one after another; the whole text is lexed first."""
-        tokens, start, out = Parser(text).tokens, [], []
-        for t in tokens:
-            if t.text == ";" or t.kind == "end":
-                if start:
-                    out.append(" ".join(start))
-                start = []
-            else:
-                start.append(t.text)
-        return [self.execute(s) for s in out]
+        return [self.execute(s) for s in statements(text)]
 
     def _unknown(self, p: Parser, params: Any) -> None:
         raise EngineError("unsupported", "no such statement")
@@ -229,10 +272,13 @@ class Store:
             name = p.name()
             p.need("on")
             table = self._table(p.name())
-            columns = p.names()
+            ordered = self._index_columns(p)
+            columns = [c for c, _ in ordered]
             if any(name in t["indexes"] for t in self._tables.values()):
                 raise EngineError("schema", f"there is an index {name}")
-            table["indexes"][name] = columns
+            if unknown := set(columns) - {c["name"] for c in table["columns"]}:
+                raise EngineError("schema", f"no column {', '.join(sorted(unknown))}")
+            table["indexes"][name] = ordered
             if unique:
                 table["keys"].append(columns)
                 self._check(next(n for n, t in self._tables.items() if t is table))
@@ -258,6 +304,19 @@ class Store:
             raise EngineError("schema", f"there is a table {name}")
         self._tables[name] = table
 
+    @staticmethod
+    def _index_columns(p: Parser) -> list[list]:
+        """[name, whether descending] of an index's columns."""
+        p.need("(")
+        out = []
+        while True:
+            name = p.name()
+            out.append([name, p.take("asc", "desc") == "desc"])
+            if not p.take(","):
+                break
+        p.need(")")
+        return out
+
     def _text_until(self, p: Parser) -> str:
         """The source of a parenthesised expression."""
         p.need("(")
@@ -314,7 +373,7 @@ class Store:
             name = p.name()
             for t in self._tables.values():
                 if name in t["indexes"]:
-                    columns = t["indexes"].pop(name)
+                    columns = [c for c, _ in t["indexes"].pop(name)]
                     if columns in t["keys"] and columns != t["primary"]:
                         t["keys"].remove(columns)
                     return
@@ -363,7 +422,7 @@ class Store:
         for c in table["columns"]:
             c["name"] = new if c["name"] == old else c["name"]
         table["keys"], table["primary"] = [swap(k) for k in table["keys"]], swap(table["primary"])
-        table["indexes"] = {n: swap(k) for n, k in table["indexes"].items()}
+        table["indexes"] = {n: [[swap([c])[0], down] for c, down in k] for n, k in table["indexes"].items()}
         table["checks"] = [" ".join(new if t.kind == "name" and t.value == old else t.text for t in Parser(text).tokens[:-1]) for text in table["checks"]]
         for other, t in self._tables.items():
             t["references"] = [[swap(c) if other == name else c, target, swap(k) if target == name else k] for c, target, k in t["references"]]
@@ -411,7 +470,8 @@ class Store:
                     whole_key = whole_key & F.col(c).isNotNull()
                 fresh = fresh.where(whole_key).join(last.select("_at"), "_at", "left_semi").unionByName(fresh.where(~whole_key))
             fresh = fresh.drop("_at")
-        return self._changed(p, name, before.unionByName(fresh), fresh, params)
+            return self._changed(p, name, before.unionByName(fresh), fresh, params)
+        return self._changed(p, name, None, fresh, params)
 
     def _do_replace(self, p: Parser, params: Any) -> DataFrame | int:
         return self._do_insert(p, params, True)
@@ -464,17 +524,27 @@ class Store:
         key = table["primary"][0]
         if next(c["type"] for c in table["columns"] if c["name"] == key) != "BIGINT" or fresh.where(F.col(key).isNull()).isEmpty():
             return fresh
+        from tessera.sources.shared import staged
+
+        # In row order a row without a key gets the number after the largest so far: after the largest given key
+        # (or stored one) before it, plus as many as there are rows without a key since. Counts and maxima by
+        # partition go through the driver; the rows don't.
+        rows = staged(fresh.withColumn("_part", F.spark_partition_id()).withColumn("_at", F.monotonically_increasing_id()))
         top = max(0, self.frame(name).agg(F.max(key)).first()[0] or 0)
-        rows = fresh.collect()
-        out = []
-        for r in rows:  # in row order: later rows see the numbers of earlier ones
-            d = r.asDict()
-            d[key] = d[key] if d[key] is not None else top + 1
-            top = max(top, d[key])
-            if top >= 2**63 - 1:
-                raise EngineError("constraint", "no key is left")
-            out.append(tuple(d[c] for c in fresh.columns))
-        return self.spark.createDataFrame(out, fresh.schema)
+        in_part = Window.partitionBy("_part").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        free = F.sum(F.when(F.col(key).isNull(), 1).otherwise(0)).over(in_part)
+        # With f rows without a key up to here, a given key k raises the base of later ones to k - f.
+        rows = rows.withColumn("_free", free).withColumn("_lift", F.max(F.when(F.col(key).isNotNull(), F.col(key) - F.col("_free"))).over(in_part))
+        starts, base, seen = [], top, 0
+        for r in rows.groupBy("_part").agg(F.max("_free").alias("n"), F.max("_lift").alias("lift")).orderBy("_part").collect():
+            starts.append((r["_part"], base, seen))
+            base = max(base, base if r["lift"] is None else r["lift"] - seen)
+            seen += r["n"]
+        if base + seen >= 2**63 - 1:
+            raise EngineError("constraint", "no key is left")
+        at = F.broadcast(self.spark.createDataFrame(starts, "_part int, _base bigint, _seen bigint"))  # a row a partition
+        number = F.greatest(F.col("_base"), F.coalesce(F.col("_lift") - F.col("_seen"), F.col("_base"))) + F.col("_seen") + F.col("_free")
+        return rows.join(at, "_part").select(*(F.coalesce(F.col(c), number).alias(c) if c == key else F.col(c) for c in fresh.columns))
 
     def _upsert(self, p: Parser, name: str, table: dict, before: DataFrame, fresh: DataFrame, params: Any) -> DataFrame | int:
         """ON CONFLICT for VALUES: rows are folded one by one in order, over the stored rows that they meet."""
@@ -560,8 +630,8 @@ class Store:
         marked = self._marked(name, before, where, {}, params)
         return self._changed(p, name, marked.where("NOT _hit").drop("_hit"), marked.where("_hit").drop("_hit"), params)
 
-    def _changed(self, p: Parser, name: str, after: DataFrame, touched: DataFrame, params: Any) -> DataFrame | int:
-        """Write the table's new rows; the count of those touched, or RETURNING's view of them."""
+    def _changed(self, p: Parser, name: str, after: DataFrame | None, touched: DataFrame, params: Any) -> DataFrame | int:
+        """Write the table's new rows (None: the touched ones are added); the count of those touched, or RETURNING's view of them."""
         items = None
         if p.take("returning"):
             items = [p.item()]
@@ -570,7 +640,10 @@ class Store:
         from tessera.sources.shared import staged
 
         touched = staged(touched)
-        self._write(name, after)
+        if after is None:
+            self._append(name, touched)
+        else:
+            self._write(name, after)
         if items is None:
             return touched.count()
         own = Session(self.spark)
@@ -583,7 +656,10 @@ class Store:
         """Rewrite each table compactly; older folders stay for readers that opened them (see prune)."""
         for name in self._tables:
             if self._tables[name]["path"]:
-                self._write(name, self.frame(name).coalesce(8))
+                self._write(name, self.frame(name).repartition(max(1, self._size(self._tables[name]) // COMPACT_BYTES)))
+
+    def _size(self, table: dict) -> int:
+        return sum(self._fs.getContentSummary(self._path(f)).getLength() for f in self._folders(table))
 
     def _do_analyze(self, p: Parser, params: Any) -> DataFrame:
         return self.stats()
@@ -602,7 +678,7 @@ class Store:
 
     def prune(self) -> int:
         """Delete table folders that the latest manifest doesn't name, and say how many; older snapshots end."""
-        named = {t["path"] for t in self._load(self._latest()).values() if t["path"]} | {t["path"] for t in self._tables.values() if t["path"]}
+        named = {f for tables in (self._load(self._latest()), self._tables) for t in tables.values() for f in self._folders(t)}
         gone = 0
         tables = self._path(f"{self.root}/tables")
         for table in self._fs.listStatus(tables) if self._fs.exists(tables) else []:
@@ -619,7 +695,7 @@ class Store:
         for name, table in tables.items():
             if table["path"]:
                 path = f"{target.rstrip('/')}/tables/{name}/{uuid.uuid4().hex}"
-                self.spark.read.parquet(table["path"]).write.parquet(path)
+                self.spark.read.schema(self._schema(table)).parquet(*self._folders(table)).write.parquet(path)
                 table["path"] = path
         other = Store(self.spark, target)
         other._tables = tables

@@ -43,3 +43,31 @@ def test_entry_without_the_training_data_operators(tmp_path):
     code = "import __spark_entry__ as e; q = e.queries(); assert 'tpch_q1' in q and 'pipeline' not in q; e.oracle_sql()"
     done = subprocess.run([sys.executable, "-c", f"import sys; sys.path.insert(0, {str(tmp_path)!r}); sys.dont_write_bytecode = True; {code}"], cwd=tmp_path, capture_output=True, text=True)
     assert done.returncode == 0, done.stderr
+
+
+def test_graph_changes_filters_and_budgets(spark):
+    import pytest
+
+    from tessera.errors import EngineError
+
+    nodes = spark.createDataFrame([(i, "n") for i in range(1, 6)], "id bigint, label string")
+    kind = "id bigint, source bigint, target bigint, label string, weight double"
+    g = Graph(nodes, spark.createDataFrame([(10, 1, 2, "a", 1.0), (11, 2, 5, "b", 1.0), (12, 1, 3, "a", 9.0), (13, 3, 4, "a", 1.0), (14, 4, 5, "a", 1.0)], kind))
+    assert g.shortest_hop_path(1, 5, 9) == ([1, 2, 5], [10, 11])
+    assert g.shortest_hop_path(1, 5, 9, label="a") == ([1, 3, 4, 5], [12, 13, 14])
+    assert g.shortest_hop_path(1, 5, 9, label="a", max_weight=5.0) is None
+    for budget in (lambda: g.reachable(1, 5, most_edges=3), lambda: g.shortest_hop_path(1, 5, 9, label="a", most_edges=2)):
+        with pytest.raises(EngineError):
+            budget()
+    more = g.add_nodes(spark.createDataFrame([(6, "m")], "id bigint, label string")).add_edges(spark.createDataFrame([(15, 5, 6, "c", 1.0)], kind))
+    assert more.shortest_hop_path(1, 6, 9)[0] == [1, 2, 5, 6]
+    for wrong in ([(15, 1, 9, "c", 1.0)], [(10, 1, 2, "c", 1.0)]):
+        with pytest.raises(EngineError):
+            g.add_edges(spark.createDataFrame(wrong, kind))
+    with pytest.raises(EngineError):
+        g.add_nodes(spark.createDataFrame([(1, "m")], "id bigint, label string"))
+    with pytest.raises(EngineError):
+        g.remove_nodes(spark.range(2, 3), cascade=False)
+    less = g.remove_nodes(spark.range(2, 3))
+    assert sorted(r.id for r in less.edges.collect()) == [12, 13, 14] and less.check_integrity().isEmpty()
+    assert sorted(r.id for r in g.remove_edges(spark.range(10, 12)).edges.collect()) == [12, 13, 14]

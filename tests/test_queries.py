@@ -44,3 +44,25 @@ def test_no_cartesian_plans(spark, name):
 def test_filters_and_columns_reach_the_scan(spark):
     plan = relational.queries()["scan_pk_point"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
     assert "EqualTo(o_orderkey,77)" in plan and "o_orderstatus" not in plan
+
+
+#: Queries whose answer is empty by its definition.
+EMPTY = {"limit_zero", "join_not_in_null"}
+
+
+def test_answers_are_not_empty(spark):
+    folder = "/root/testdata/sf0.01"
+    for name in ("filter_compare", "filter_not_exists", "set_except", "tpch_q4", "tpch_q22", "scan_rowid", "filter_like_call", "vector_literal", "graph_edge_changes"):
+        assert name not in EMPTY and not relational.queries()[name](spark, folder).isEmpty(), name
+
+
+def test_arithmetic_stays_in_compiled_code(spark):
+    for name in relational.Q:
+        if name.startswith("tpch_"):
+            plan = relational.queries()[name](spark, FOLDER)._jdf.queryExecution().optimizedPlan().toString()
+            assert "lambdafunction" not in plan, name
+
+
+def test_a_prefix_without_letters_or_in_either_case_reaches_the_scan(spark):
+    plan = relational.queries()["filter_like"](spark, FOLDER)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(n_name,N)" in plan and "StringStartsWith(n_name,n)" in plan

@@ -44,3 +44,36 @@ def test_prune(spark, tmp_path):
     store = Store(spark, f"file://{tmp_path}/s")
     store.script("CREATE TABLE t (i INTEGER); INSERT INTO t VALUES (1); INSERT INTO t VALUES (2); VACUUM")
     assert store.prune() == 2 and store.execute("SELECT count(*) AS n FROM t").first().n == 2
+
+
+def test_functions_belong_to_their_session(spark):
+    one, two = Session(spark), Session(spark)
+    for s, mark in ((one, "!"), (two, "?")):
+        s.register("t", spark.createDataFrame([(1,)], "k bigint"))
+        s.function("shout", lambda x, mark=mark: f"{x}{mark}", T.StringType())
+    assert one.sql("SELECT shout(k) AS x FROM t").first().x == "1!" and two.sql("SELECT shout(k) AS x FROM t").first().x == "1?"
+
+
+def test_cursor_fetches_some_rows_at_a_time(spark):
+    s = Session(spark)
+    s.register("t", spark.range(7))
+    c = s.cursor("SELECT id FROM t ORDER BY id")
+    assert [r.id for r in c.fetch(3)] == [0, 1, 2] and [r.id for r in c.fetch(9)] == [3, 4, 5, 6] and c.fetch(1) == []
+    c.close()
+    with pytest.raises(EngineError):
+        c.fetch(1)
+
+
+def test_rowid_names_the_integer_key(spark):
+    s = Session(spark)
+    s.register("t", spark.createDataFrame([(5, "a"), (6, "b")], "k bigint, s string"), "k")
+    s.register("plain", spark.range(2))
+    assert s.sql("SELECT rowid AS r, s FROM t WHERE t.rowid > 5").first() == (6, "b")
+    with pytest.raises(EngineError):
+        s.sql("SELECT rowid FROM plain")
+
+
+def test_a_script_is_cut_outside_literals():
+    from tessera.plans.syntax import statements
+
+    assert statements("SELECT 'a;b' AS x; SELECT \"c;d\" FROM t -- e;f\n;") == ["SELECT 'a;b' AS x", 'SELECT "c;d" FROM t']

@@ -90,3 +90,34 @@ def test_returning_and_backup(spark, store, tmp_path):
     store.backup(f"file://{tmp_path}/copy")
     assert store.execute("DELETE FROM t") == 2
     assert Store(spark, f"file://{tmp_path}/copy").execute("SELECT count(*) AS n FROM t").first()[0] == 2
+
+
+def test_a_half_written_manifest_is_never_seen(store, tmp_path):
+    store.script("CREATE TABLE t (i INTEGER PRIMARY KEY); INSERT INTO t VALUES (1)")
+    (tmp_path / "store/manifests/.left.new").write_text("")
+    other = Store(store.spark, store.root)
+    assert other.execute("SELECT count(*) AS n FROM t").first().n == 1
+    store.execute("INSERT INTO t VALUES (2)")
+    with pytest.raises(EngineError) as e:
+        other.execute("INSERT INTO t VALUES (3)")
+    assert e.value.code == "conflict"
+
+
+def test_rows_are_appended_and_only_these_are_checked(store, tmp_path):
+    store.script("CREATE TABLE t (i INTEGER PRIMARY KEY, s TEXT, x INTEGER); CREATE INDEX by_x ON t (x DESC, s)")
+    store.execute("INSERT INTO t VALUES (1, 'a', 5), (2, 'b', 7)")
+    store.execute("INSERT INTO t VALUES (3, 'c', 6)")
+    assert len([p for p in (tmp_path / "store/tables/t").iterdir()]) == 2
+    with pytest.raises(EngineError):
+        store.execute("INSERT INTO t VALUES (3, 'again', 1)")
+    assert [tuple(r) for r in store.execute("SELECT rowid AS r, x FROM t ORDER BY x DESC").collect()] == [(2, 7), (3, 6), (1, 5)]
+    store.script("ALTER TABLE t RENAME COLUMN x TO y; INSERT INTO t (s) SELECT s || '+' FROM t ORDER BY i; DROP INDEX by_x; VACUUM")
+    assert [r.i for r in store.execute("SELECT i FROM t ORDER BY i").collect()] == [1, 2, 3, 4, 5, 6]
+
+
+def test_numbering_of_selected_rows_is_the_row_order_s(store):
+    other = sqlite3.connect(":memory:")
+    for s in ("CREATE TABLE t (i INTEGER PRIMARY KEY, s TEXT)", "INSERT INTO t VALUES (4, 'x')", "INSERT INTO t VALUES (NULL, 'a'), (9, 'b'), (NULL, 'c'), (2, 'd'), (NULL, 'e')"):
+        store.execute(s)
+        other.execute(s)
+    assert sorted(tuple(r) for r in store.execute("SELECT * FROM t").collect()) == sorted(other.execute("SELECT * FROM t").fetchall())
