@@ -16,9 +16,10 @@ from tessera.llm.common import lean, read_documents, slices
 
 SAMPLE_RATE = 8000
 FRAME = 256
-HOP = 256
+HOP = 128
 BANDS = ((1, 8), (8, 24), (24, 64), (64, 128))
-FAN_OUT = 2
+#: A peak is paired with the first peaks of later frames, so many and so many frames later at most.
+FAN_OUT, ZONE = 3, 64
 FRAMES_AT_ONCE = 4096
 BLOCK = 64
 
@@ -46,21 +47,21 @@ def wav_samples(media: bytes) -> bytes:
 
 
 def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Frames and bins of the spectral peaks.
+    """Frames and bins of the spectral peaks, in the order of frames.
 
-    Hann-windowed frames without overlap, the last one zero-filled; in each frame the strongest bin of
+    Hann-windowed frames that overlap by half, the last one zero-filled; in each frame the strongest bin of
     each band is a peak if it stands above the band's mean power over the whole signal.
     """
-    n = max(1, -(-len(samples) // HOP))
-    filled = np.zeros((n - 1) * HOP + FRAME, np.float32)
-    filled[: len(samples)] = (samples.astype(np.float32) - 128) / 128
-    frames = filled.reshape(n, FRAME)
-    window = np.hanning(FRAME).astype(np.float32)
+    n = 1 + max(0, -(-(len(samples) - FRAME) // HOP))
+    filled = np.full((n - 1) * HOP + FRAME, 128, np.uint8)
+    filled[: len(samples)] = samples
+    frames = np.lib.stride_tricks.sliding_window_view(filled, FRAME)[::HOP]
+    window = np.hanning(FRAME).astype(np.float32) / 128
     best = np.zeros((n, len(BANDS)), np.int64)
     power = np.zeros((n, len(BANDS)))
     total = np.zeros(len(BANDS))
     for first in range(0, n, FRAMES_AT_ONCE):
-        spectrum = np.fft.rfft(frames[first : first + FRAMES_AT_ONCE] * window, axis=1)
+        spectrum = np.fft.rfft((frames[first : first + FRAMES_AT_ONCE].astype(np.float32) - 128) * window, axis=1)
         energy = spectrum.real**2 + spectrum.imag**2
         for b, (low, high) in enumerate(BANDS):
             part = energy[:, low:high]
@@ -72,17 +73,21 @@ def spectral_peaks(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return frame, best[frame, band]
 
 
-def peak_pairs(frame: np.ndarray, peak: np.ndarray, fan_out: int = FAN_OUT) -> np.ndarray:
+def peak_pairs(frame: np.ndarray, peak: np.ndarray, fan_out: int = FAN_OUT, zone: int = ZONE) -> np.ndarray:
     """Time-coded pair fingerprints, sorted: frame << 32 | first bin << 24 | second bin << 16 | frames between.
 
-    Each peak is paired with the next fan_out peaks that follow it in time by less than 65,536 frames.
+    Peaks come in the order of frames. Each is paired with the first fan_out peaks of later frames, at most zone
+    frames later; never with one of its own frame.
     """
+    later = np.searchsorted(frame, frame, side="right")
     codes = []
-    for step in range(1, fan_out + 1):
-        between = frame[step:] - frame[:-step]
-        near = between < 65_536
-        codes.append((frame[:-step][near] << 32) | (peak[:-step][near] << 24) | (peak[step:][near] << 16) | between[near])
-    return np.sort(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
+    for step in range(fan_out):
+        mine = np.flatnonzero(later + step < len(frame))
+        other = later[mine] + step
+        between = frame[other] - frame[mine]
+        near = between <= zone
+        codes.append((frame[mine][near] << 32) | (peak[mine][near] << 24) | (peak[other][near] << 16) | between[near])
+    return np.sort(np.concatenate(codes))
 
 
 def describe(data: bytes) -> tuple[bytes, bytes, np.ndarray, str]:
@@ -124,5 +129,4 @@ def media_columns(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 
 def op1_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The digest columns; the media file and the fingerprint array stay with the operator."""
-    return media_columns(read_documents(spark, sf_dir), keep_media=False, keep_fingerprints=False)
+    return media_columns(read_documents(spark, sf_dir))
