@@ -2,22 +2,22 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import lean, read_documents, slices
 
 FEATURE_BITS = 17
-LONGEST_SEQUENCE = 256
-TRAINING_ROWS = 400
-TRAINING_CHARACTERS = 20_000
-_NOT_LETTER = re.compile(r"[\W\d_]+")
+#: Labelled texts of each language that the fit takes, about (twice as many at most), and runs of words that it sees,
+#: about, counting repeats in later rounds; every run is seen MOST_ROUNDS times at most and LEAST_ROUNDS at least.
+TRAINING_ROWS, TRAINING_RUNS, LEAST_ROUNDS, MOST_ROUNDS = 400, 150_000, 3, 12
+#: Words of a chain that are stepped through one by one; longer chains are solved by pieces, with the same result.
+PIECE = 256
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -104,15 +104,77 @@ def forward_backward(scores: np.ndarray, lengths: np.ndarray, transitions: np.nd
     return posterior, expected * step, sums
 
 
+def chain_posteriors(scores: np.ndarray, lengths: np.ndarray, transitions: np.ndarray, piece: int = PIECE) -> np.ndarray:
+    """Posteriors of each word, as of forward_backward, of chains of any length.
+
+    Chains are cut into pieces. Each piece's transfer matrix tells what it makes of the state before it;
+    the matrices give the exact messages into each piece from both sides, and all pieces then advance together.
+    """
+    labels = scores.shape[1]
+    if not len(scores):
+        return scores
+    local = np.exp(scores - scores.max(1, keepdims=True))
+    step = np.exp(transitions - transitions.max())
+    pieces = -(-lengths // piece)
+    chain = np.repeat(np.arange(len(lengths)), pieces)
+    place = np.arange(len(chain)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    first = np.repeat(np.cumsum(lengths) - lengths, pieces) + place * piece
+    size = np.minimum(piece, np.repeat(lengths, pieces) - place * piece)
+    before, after = np.ones((len(chain), labels)), np.ones((len(chain), labels))
+    cut = np.flatnonzero(pieces[chain] > 1)
+    if len(cut):
+        transfer = np.broadcast_to(np.eye(labels), (len(cut), labels, labels)).copy()
+        for t in range(int(size[cut].max())):
+            live = np.flatnonzero(size[cut] > t)
+            now = transfer[live] if t == 0 else transfer[live] @ step
+            if t == 0:  # a chain's first word has no transition into it
+                inner = place[cut[live]] > 0
+                now[inner] = now[inner] @ step
+            now = now * local[first[cut[live]] + t][:, None, :]
+            transfer[live] = now / now.sum((1, 2), keepdims=True)
+        of = np.full(len(chain), -1)
+        of[cut] = np.arange(len(cut))
+        for t in range(1, int(place.max()) + 1):
+            at = np.flatnonzero(place == t) if t < 64 else cut[place[cut] == t]
+            state = (before[at - 1][:, None, :] @ transfer[of[at - 1]])[:, 0]
+            before[at] = state / state.sum(1, keepdims=True)
+        for t in range(int(place.max()), 0, -1):
+            at = np.flatnonzero(place == t) if t < 64 else cut[place[cut] == t]
+            state = (transfer[of[at]] @ after[at][:, :, None])[:, :, 0]
+            after[at - 1] = state / state.sum(1, keepdims=True)
+    order = np.argsort(-size, kind="stable")
+    sizes, starts = size[order], first[order]
+    inner, before, after = place[order] > 0, before[order], after[order]
+    alive = np.searchsorted(-sizes, -np.arange(int(sizes[0])), side="left")  # pieces longer than t
+    alpha, beta = np.zeros_like(local), np.ones_like(local)
+    for t in range(int(sizes[0])):
+        n = alive[t]
+        at = starts[:n] + t
+        now = before[:n] @ step
+        if t == 0:
+            now[~inner] = 1.0
+        now *= local[at]
+        now /= now.sum(1, keepdims=True)
+        alpha[at] = before[:n] = now
+    last = starts + sizes - 1
+    beta[last] = after
+    for t in range(int(sizes[0]) - 2, -1, -1):
+        at = starts[: alive[t + 1]] + t
+        now = (local[at + 1] * beta[at + 1]) @ step.T
+        beta[at] = now / now.sum(1, keepdims=True)
+    posterior = alpha * beta
+    return posterior / np.maximum(posterior.sum(1, keepdims=True), 1e-300)
+
+
 def clean_words(words: list[str]) -> list[str]:
     """Lower-case letters of each word; empty where it has none."""
-    return [_NOT_LETTER.sub("", w) if not w.isalpha() else w for w in map(str.lower, words)]
+    return [w if w.isalpha() else "".join(filter(str.isalpha, w)) for w in map(str.lower, words)]
 
 
 def sequences(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
     """Different words, each running word's index among them, sequence lengths and each sequence's text.
 
-    A sequence is a line's words with a letter; long lines are cut after LONGEST_SEQUENCE words.
+    A sequence is a line's words with a letter, however many.
     """
     lines = pc.split_pattern(pc.fill_null(texts, ""), "\n")
     text_of_line = np.repeat(np.arange(len(texts)), pc.list_value_length(lines).to_numpy(zero_copy_only=False))
@@ -125,10 +187,7 @@ def sequences(texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.nd
     index, line_of_word = index[kept], line_of_word[kept]
     if not len(index):
         return words, index, np.zeros(0, np.int64), np.zeros(0, np.int64)
-    fresh = np.r_[True, line_of_word[1:] != line_of_word[:-1]]
-    start_of = np.flatnonzero(fresh)
-    place = np.arange(len(index)) - start_of[np.cumsum(fresh) - 1]
-    starts = np.flatnonzero(place % LONGEST_SEQUENCE == 0)
+    starts = np.flatnonzero(np.r_[True, line_of_word[1:] != line_of_word[:-1]])
     return words, index, np.diff(np.r_[starts, len(index)]), text_of_line[line_of_word[starts]]
 
 
@@ -143,7 +202,7 @@ class Model:
         words, index, lengths, text = sequences(texts)
         sums, counts, changes = np.zeros((len(texts), len(self.labels))), np.zeros(len(texts)), np.zeros(len(texts), np.int64)
         if len(index):
-            posterior, _, _ = forward_backward(emissions(words, self.weights)[index], lengths, self.transitions)
+            posterior = chain_posteriors(emissions(words, self.weights)[index], lengths, self.transitions)
             owner = np.repeat(text, lengths)
             counts = np.bincount(owner, minlength=len(texts)).astype(float)
             for k in range(len(self.labels)):
@@ -154,8 +213,8 @@ class Model:
         return sums, counts, changes
 
 
-def train(texts: list[str], langs: list[str], rounds: int = 12, seed: int = 7) -> Model:
-    """Fit the field on labelled texts.
+def train(texts: list[str], langs: list[str], runs: int = TRAINING_RUNS, seed: int = 7) -> Model:
+    """Fit the field on all runs of the labelled texts, in as many rounds as make about `runs` (see TRAINING_RUNS).
 
     Sequences are runs of 4 to 24 words of two or more texts put together, so that the labels change
     within them and transitions are learned. Weights start at smoothed log ratios of the features'
@@ -186,7 +245,8 @@ def train(texts: list[str], langs: list[str], rounds: int = 12, seed: int = 7) -
     cuts = np.cumsum(rng.integers(4, 25, len(index)))
     starts = np.unique(np.r_[0, cuts[cuts < len(index)], (np.cumsum(lengths) - lengths)])
     run_lengths = np.diff(np.r_[starts, len(index)])
-    shuffled = rng.permutation(len(starts))[:12_000]
+    shuffled = np.arange(len(starts))
+    rounds = max(LEAST_ROUNDS, min(MOST_ROUNDS, runs // len(starts)))
     squares, moves = np.full_like(weights, 1e-6), np.full_like(transitions, 1e-6)
     for round_ in range(rounds):
         groups = np.array_split(shuffled[rng.permutation(len(shuffled))], max(1, len(shuffled) // 1500))
@@ -223,18 +283,18 @@ def fold(id_: Column) -> Column:
 
 
 def training_sample(docs: DataFrame, id_column: str, text_column: str, lang_column: str, rows: int = TRAINING_ROWS) -> tuple[list[str], list[str]]:
-    """About `rows` labelled texts of each language outside the held-out fold, chosen by a hash of the text.
-
-    The bound is for the fit alone: `rows` a language, texts of up to TRAINING_CHARACTERS characters.
-    """
-    usable = docs.where((fold(docs[id_column]) != 2) & docs[lang_column].isNotNull() & docs[text_column].isNotNull() & (F.length(docs[text_column]) <= TRAINING_CHARACTERS))
-    usable = usable.select(docs[text_column].alias("text"), docs[lang_column].alias("lang"))
+    """About `rows` labelled texts of each language outside the held-out fold (2 * rows at most), chosen by a hash of text and id."""
+    usable = docs.where((fold(docs[id_column]) != 2) & docs[lang_column].isNotNull() & docs[text_column].isNotNull())
+    usable = usable.select(docs[text_column].alias("text"), docs[lang_column].alias("lang"), F.pmod(F.xxhash64(docs[text_column], docs[id_column]), F.lit(1 << 30)).alias("place"))
     sizes = {r["lang"]: r["n"] for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
-    place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
     chosen = F.lit(False)
     for lang, n in sizes.items():
-        chosen = chosen | ((F.col("lang") == lang) & (place < int((1 << 30) * min(1.0, rows / n))))
-    found = usable.where(chosen).orderBy("lang", "text").limit(2 * rows * max(1, len(sizes))).collect() if sizes else []
+        chosen = chosen | ((F.col("lang") == lang) & (F.col("place") < int((1 << 30) * min(1.0, rows / n))))
+    if not sizes:
+        return [], []
+    # Of each language its first rows by place; only the chosen ones go through the window.
+    ranked = usable.where(chosen).withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("place", "text")))
+    found = ranked.where(F.col("rank") <= 2 * rows).orderBy("lang", "rank").collect()
     return [r["text"] for r in found], [r["lang"] for r in found]
 
 
