@@ -13,49 +13,134 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import lean, read_documents, slices
 
-# Short notices by which works name their licence.
+# Notices by which works name their licence, and licences' opening sentences.
 TEMPLATES = {
+    "0bsd": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted",
+        "Licensed under the BSD Zero Clause License",
+        "SPDX-License-Identifier: 0BSD",
+    ),
+    "agpl": (
+        "it under the terms of the GNU Affero General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Affero General Public License along with this program",
+        "This work is licensed under the GNU Affero General Public License, version 3",
+        "SPDX-License-Identifier: AGPL-3.0-only",
+        "SPDX-License-Identifier: AGPL-3.0-or-later",
+    ),
     "apache-2.0": (
         "Licensed under the Apache License, Version 2.0",
         "you may not use this file except in compliance with the License",
         "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0",
         "distributed under the License is distributed on an AS IS BASIS WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND",
+        "SPDX-License-Identifier: Apache-2.0",
+    ),
+    "artistic-2.0": (
+        "Licensed under the Artistic License 2.0",
+        "This program is free software you can redistribute it and/or modify it under the terms of the Artistic License version 2.0",
+        "SPDX-License-Identifier: Artistic-2.0",
+    ),
+    "boost": (
+        "Distributed under the Boost Software License, Version 1.0",
+        "SPDX-License-Identifier: BSL-1.0",
     ),
     "bsd": (
         "Redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
+        "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer",
+        "Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation",
         "Use of this source code is governed by a BSD style license",
         "Released under the BSD license",
+        "SPDX-License-Identifier: BSD-3-Clause",
+        "SPDX-License-Identifier: BSD-2-Clause",
     ),
     "cc-by": (
         "This work is licensed under a Creative Commons Attribution 4.0 International License",
         "Licensed under CC BY 4.0",
+        "SPDX-License-Identifier: CC-BY-4.0",
     ),
     "cc-by-nc": (
         "This work is licensed under a Creative Commons Attribution NonCommercial 4.0 International License",
         "Licensed under CC BY-NC 4.0",
+        "SPDX-License-Identifier: CC-BY-NC-4.0",
+    ),
+    "cc-by-nc-nd": (
+        "This work is licensed under a Creative Commons Attribution NonCommercial NoDerivatives 4.0 International License",
+        "Licensed under CC BY-NC-ND 4.0",
+        "SPDX-License-Identifier: CC-BY-NC-ND-4.0",
+    ),
+    "cc-by-nc-sa": (
+        "This work is licensed under a Creative Commons Attribution NonCommercial ShareAlike 4.0 International License",
+        "Licensed under CC BY-NC-SA 4.0",
+        "SPDX-License-Identifier: CC-BY-NC-SA-4.0",
+    ),
+    "cc-by-nd": (
+        "This work is licensed under a Creative Commons Attribution NoDerivatives 4.0 International License",
+        "Licensed under CC BY-ND 4.0",
+        "SPDX-License-Identifier: CC-BY-ND-4.0",
     ),
     "cc-by-sa": (
         "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License",
         "Licensed under CC BY-SA 4.0",
+        "SPDX-License-Identifier: CC-BY-SA-4.0",
+    ),
+    "cc0": (
+        "To the extent possible under law the author has waived all copyright and related or neighboring rights to this work",
+        "This work is dedicated to the public domain under CC0 1.0 Universal",
+        "SPDX-License-Identifier: CC0-1.0",
+    ),
+    "epl-2.0": (
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0",
+        "SPDX-License-Identifier: EPL-2.0",
+    ),
+    "eupl": (
+        "Licensed under the European Union Public Licence EUPL, Version 1.2",
+        "SPDX-License-Identifier: EUPL-1.2",
     ),
     "gpl": (
         "This work is licensed under the GNU General Public License, version 3",
         "it under the terms of the GNU General Public License as published by the Free Software Foundation",
         "You should have received a copy of the GNU General Public License along with this program",
+        "SPDX-License-Identifier: GPL-2.0-only",
+        "SPDX-License-Identifier: GPL-2.0-or-later",
+        "SPDX-License-Identifier: GPL-3.0-only",
+        "SPDX-License-Identifier: GPL-3.0-or-later",
+    ),
+    "isc": (
+        "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies",
+        "Released under the ISC License",
+        "SPDX-License-Identifier: ISC",
+    ),
+    "lgpl": (
+        "it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
+        "You should have received a copy of the GNU Lesser General Public License along with this library",
+        "This work is licensed under the GNU Lesser General Public License, version 3",
+        "SPDX-License-Identifier: LGPL-2.1-or-later",
+        "SPDX-License-Identifier: LGPL-3.0-or-later",
     ),
     "mit": (
         "Permission is hereby granted free of charge to any person obtaining a copy of this software",
         "Released under the MIT License",
         "This software is licensed under the MIT License",
+        "SPDX-License-Identifier: MIT",
     ),
     "mpl": (
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
         "Licensed under the Mozilla Public License version 2.0",
+        "SPDX-License-Identifier: MPL-2.0",
     ),
     "reserved": (
         "All rights reserved",
         "Copyright All rights reserved. No part of this publication may be reproduced without permission",
     ),
+    "unlicense": (
+        "This is free and unencumbered software released into the public domain",
+        "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary",
+        "SPDX-License-Identifier: Unlicense",
+    ),
+    "zlib": (
+        "This software is provided as-is without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software",
+        "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely",
+        "SPDX-License-Identifier: Zlib",
+    ),
 }
 UNKNOWN = "unknown"
 FAMILIES = (*TEMPLATES, UNKNOWN)
@@ -68,7 +153,8 @@ CASUAL = (
     "the software was distributed to any person under the same conditions",
     "copyright law and rights in software were reserved for the second version",
 )
-TRAINING_PARAGRAPHS = 2000
+#: Paragraphs of the corpus that the unknown class takes at most, and variants of each template.
+TRAINING_PARAGRAPHS, VARIANTS = 2000, 24
 LEAST_COVER = 0.6
 #: A wrapped notice may take so many times its template's words; so many words around it are classified with it, as in training.
 SPREAD, AROUND = 2, 4
@@ -93,12 +179,12 @@ class Model:
     def __init__(self, others: list[str], seed: int = 11):
         rng = np.random.default_rng(seed)
         corpus = [w for w in map(paragraph_words, others) if w]
-        filler = sorted({w for words in corpus for w in words})[:5000] or ["and", "of", "the"]
+        filler = sorted({w for words in corpus for w in words}) or ["and", "of", "the"]
         rows, truth = [], []
         for label, family in enumerate(TEMPLATES):
             for template in TEMPLATES[family]:
                 words = paragraph_words(template)
-                made = [words] + [_mutations(rng, words, filler) for _ in range(60)]
+                made = [words] + [_mutations(rng, words, filler) for _ in range(VARIANTS)]
                 rows += made
                 truth += [label] * len(made)
         unknown = len(TEMPLATES)
@@ -159,7 +245,7 @@ class Model:
         x, y = design[~held], wanted[~held]
         weights = ahead = np.zeros((design.shape[1], len(FAMILIES)), np.float32)
         bound = float(np.linalg.norm(x, 2) ** 2 / (2 * len(x)) + 1e-4)
-        for i in range(300):
+        for i in range(150):
             scores = x @ ahead
             scores = np.exp(scores - scores.max(1, keepdims=True))
             scores /= scores.sum(1, keepdims=True)
@@ -318,14 +404,19 @@ class Model:
 
 
 def other_paragraphs(docs: DataFrame, text_column: str = "text", most: int = TRAINING_PARAGRAPHS) -> list[str]:
-    """A bounded sample of the corpus' paragraphs for the unknown class, chosen by a hash of the text."""
-    texts = docs.where(docs[text_column].isNotNull() & (F.length(docs[text_column]) < 20_000)).select(docs[text_column].alias("text"))
+    """A bounded sample of the corpus' paragraphs for the unknown class.
+
+    Texts are chosen by a hash, and of each the paragraphs with the smallest hashes, so texts of any length
+    take part and no long one fills the sample.
+    """
+    texts = docs.where(docs[text_column].isNotNull()).select(docs[text_column].alias("text"))
     total = texts.count()
     if not total:
         return []
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30))
-    some = texts.where(place < int((1 << 30) * min(1.0, most / 4 / total))).orderBy("text").limit(most).collect()
-    return [line for r in some for line in r["text"].split("\n")][:most]
+    some = texts.where(place < int((1 << 30) * min(1.0, most / 4 / total)))
+    lines = some.select(F.explode(F.slice(F.sort_array(F.transform(F.split("text", "\n"), lambda x: F.struct(F.xxhash64(x).alias("h"), x.alias("line")))), 1, 8)).alias("x"))
+    return [r["line"] for r in lines.select("x.h", "x.line").orderBy("h", "line").limit(most).collect()]
 
 
 def license_scan(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", least_probability: float = 0.5, training_paragraphs: int = TRAINING_PARAGRAPHS) -> DataFrame:
