@@ -5,8 +5,10 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -21,7 +23,7 @@ ASSIGN_LEAST, ACCESS_LEAST = 6, 20
 KINDS = ("assign", "access", "hex", "random")
 _ASSIGN_HINTS = ("passw", "secret", "token", "api")
 
-CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
+CANDIDATE = re.compile(r"[A-Za-z0-9+/_-]{16,}={0,2}")
 _UPPER, _LOWER, _DIGIT = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789"
 #: Encodings from the narrowest alphabet to the widest, in code order.
 ENCODINGS = (
@@ -126,9 +128,12 @@ def random_spans(text: str, taken: list[tuple[int, int, str]], false_rate: float
     chances and short values' weak evidence are both paid for.
     """
     tested = []
+    starts = [a for a, _, _ in taken]  # in span order
+    furthest = list(accumulate((b for _, b, _ in taken), max))
     for m in CANDIDATE.finditer(text):
         start, end = m.span()
-        if any(a <= start and end <= b for a, b, _ in taken):
+        before = bisect_right(starts, start)
+        if before and furthest[before - 1] >= end:
             continue
         value = m[0].rstrip("=")
         _, codes, size = infer_encoding(value)
