@@ -22,7 +22,7 @@ DIGESTS_HELD = 200_000
 #: A signature of so many documents of one map task travels as one list of them.
 LIST_FROM = 64
 #: Members of a bucket that are compared with one another at once, pairs with one document that are verified together.
-BLOCK, VERIFIED_TOGETHER = 2048, 64
+BLOCK, VERIFIED_TOGETHER = 256, 64
 #: Spanning forests of a bucket's candidates that are verified before all others.
 FORESTS = 3
 #: Bits of a signature that travel.
