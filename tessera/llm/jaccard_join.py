@@ -16,7 +16,7 @@ from tessera.llm.partenum import Sketches, block_pairs, signatures_of, similar,
 from tessera.llm.shingles import mix, shingle_sets
 
 #: Signatures that a map task holds before it sends them on, and that a reduce task sorts at once.
-SIGNATURES_AT_ONCE, SORTED_AT_ONCE = 1_000_000, 750_000
+SIGNATURES_AT_ONCE, SORTED_AT_ONCE = 500_000, 500_000
 #: Distinct digests that a map task remembers.
 DIGESTS_HELD = 200_000
 #: A signature of so many documents of one map task travels as one list of them.
@@ -130,7 +130,7 @@ def _sign(length: int, percent: int, keys: np.ndarray, fineness: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[bytes, int] = {}
         signature, owner, held = [], [], 0
-        for part in slices(batches, "text", 1_000_000):
+        for part in slices(batches, "text", 500_000):
             ids = part.column("doc").to_pylist()
             sets = shingle_sets([normalised(t) for t in part.column("text").to_pylist()], length)
             copies, data, fresh = [], [], []
@@ -297,7 +297,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, length: int, percent: int) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group, hubs = None, []
-        for part in slices(batches, "text", 1_000_000):
+        for part in slices(batches, "text", 500_000):
             sets = shingle_sets([normalised(t) for t in part.column("text").to_pylist()], length)
             found = []
             for a, p, doc, side, features in zip(*(part.column(c).to_pylist() for c in ("a", "part", "doc", "side")), sets, strict=True):
