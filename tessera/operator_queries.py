@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from tessera.functions import box, contains, contains_any, json_key, overlaps, timestamp_delta_us
 from tessera.operators.graph import Graph
 from tessera.operators.vectors import nearest
+from tessera.plans.types import Extractor, UserType
+from tessera.session import Session
 from tessera.streaming.windows import sessions, tumbling_counts
 
 PROBE_OF = 3  # the embedding that the vector queries search for
@@ -123,6 +125,22 @@ def udaf_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     return own.sql("SELECT n_regionkey AS r, product_of(n_nationkey + 1) AS p FROM nation GROUP BY n_regionkey")
 
 
+def user_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type over integers that is read from and shown as text."""
+    own = Session(spark)
+    own.register("part", _read(spark, sf_dir, "part"))
+    own.type(UserType("brand", "int", "{x} BETWEEN 0 AND 99", "try_cast(regexp_extract({x}, '^Brand#([0-9]+)$', 1) AS BIGINT)", "concat('Brand#', {x})"))
+    return own.sql("SELECT CAST(b AS TEXT) AS brand, count(*) AS n, min(b) AS least FROM (SELECT CAST(p_brand AS brand) AS b FROM part) AS p WHERE b >= brand 'Brand#23' AND b <> 'Brand#31' GROUP BY b")
+
+
+def extractor_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents without a word, by a registered key extractor."""
+    own = Session(spark)
+    own.register("documents", _read(spark, sf_dir, "documents"))
+    own.extractor(Extractor("words", "split({x}, ' ')"))
+    return own.sql("SELECT doc_id FROM documents WHERE NOT contains(text, 'words', 'the')")
+
+
 def graph_edge_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Edges after nodes and edges came and went."""
     g = _graph(spark, sf_dir)
@@ -144,7 +162,7 @@ def x_topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = (vec_topk, vec_topk_filtered, spatial_overlaps, json_int, json_text, json_contains, extractor_multi, fn_ts_delta, graph_edge_fields, graph_neighbors, graph_reachable, graph_shortest, graph_edge_changes, udf_scalar, udaf_product, x_tumbling, x_sessions, x_topk_per_group)
+    named = (vec_topk, vec_topk_filtered, spatial_overlaps, json_int, json_text, json_contains, extractor_multi, fn_ts_delta, graph_edge_fields, graph_neighbors, graph_reachable, graph_shortest, graph_edge_changes, user_type, extractor_sql, udf_scalar, udaf_product, x_tumbling, x_sessions, x_topk_per_group)
     return {f.__name__: f for f in named}
 
 
@@ -163,6 +181,8 @@ def oracle_sql() -> dict[str, str]:
         "graph_neighbors": "SELECT id AS edge_id, target AS node_id FROM (" + _EDGES + ") WHERE label = 'rich' AND source = 4 UNION ALL SELECT id, source FROM (" + _EDGES + ") WHERE label = 'rich' AND target = 4 AND source <> 4",
         "graph_reachable": walk.format(n=3) + "SELECT node_id, min(depth) AS depth FROM w GROUP BY node_id",
         "graph_shortest": walk.format(n=6) + "SELECT coalesce(min(depth), -1) AS hops FROM w WHERE node_id = 17",
+        "user_type": "SELECT p_brand AS brand, count(*) AS n, CAST(substr(p_brand, 7) AS BIGINT) AS least FROM part WHERE CAST(substr(p_brand, 7) AS BIGINT) >= 23 AND p_brand <> 'Brand#31' GROUP BY 1, 3",
+        "extractor_sql": "SELECT doc_id FROM documents WHERE NOT coalesce(list_contains(string_split(text, ' '), 'the'), false)",
         "udf_scalar": "SELECT o_orderkey, o_custkey * 2 AS v FROM orders",
         "udaf_product": "SELECT CAST(n_regionkey AS BIGINT) AS r, CAST(product(n_nationkey + 1) AS BIGINT) AS p FROM nation GROUP BY 1",
         "graph_edge_changes": "SELECT * FROM (" + _EDGES + ") WHERE source NOT IN (3, 4) AND target NOT IN (3, 4) AND (id < 10 OR id >= 20)",

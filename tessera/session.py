@@ -14,6 +14,11 @@ from pyspark.sql import types as T
 from tessera.errors import EngineError
 from tessera.plans.lowering import Lowering, kind_of
 from tessera.plans.syntax import parse_query
+from tessera.plans.types import Extractor, UserType
+
+
+#: The names of the dialect's own types.
+BUILT_IN = ("integer", "int", "bigint", "real", "numeric", "text", "varchar", "date", "decimal", "blob", "vector")
 
 
 class Session:
@@ -25,9 +30,20 @@ class Session:
         self._functions: dict[str, Any] = {}
         self._lowered: dict[tuple, str] = {}
         self._rowids: dict[str, str] = {}
-
-    def register(self, name: str, df: DataFrame, rowid: str | None = None) -> None:
-        """Make a DataFrame a table; names are lower-cased. rowid names its integer primary key, if it has one."""
+        self._types: dict[str, UserType] = {}
+        self._typed: dict[str, dict[str, str]] = {}
+        self._extractors: dict[str, Extractor] = {}
+
+    def register(self, name: str, df: DataFrame, rowid: str | None = None, types: dict[str, str] | None = None) -> None:
+        """Make a DataFrame a table; names are lower-cased. rowid names its integer primary key, if it has one.
+
+        types names the columns that hold stored values of a user type.
+        """
+        typed = {column.lower(): own.lower() for column, own in (types or {}).items()}
+        for column, own in typed.items():
+            if own not in self._types or column not in {c.lower() for c in df.columns}:
+                raise EngineError("schema", f"no type {own} or no column {column}")
+        self._typed[name.lower()] = typed
         self._rowids.pop(name.lower(), None)
         if rowid:
             self._rowids[name.lower()] = rowid.lower()
@@ -51,13 +67,25 @@ class Session:
         self._functions[name.lower()] = (physical, kind_of(returns))
         self._lowered.clear()
 
+    def type(self, own: UserType) -> None:
+        """Add a type: CAST(x AS name), name 'text' and columns registered with it. A name that is taken is an error."""
+        if own.name.lower() in self._types or own.name.lower() in BUILT_IN or own.name != own.name.lower():
+            raise EngineError("schema", f"the type name {own.name} is taken or not in lower case")
+        self._types[own.name] = own
+        self._lowered.clear()
+
+    def extractor(self, own: Extractor) -> None:
+        """Add a key extractor: contains(value, 'name', key) in SQL."""
+        self._extractors[own.name] = own
+        self._lowered.clear()
+
     def lower(self, text: str, params: Any = None) -> str:
         """The Spark SQL that a query becomes; remembered for the same text and parameters."""
         key = (text, repr(params))
         if key not in self._lowered:
             if len(self._lowered) >= 256:
                 self._lowered.clear()
-            self._lowered[key] = Lowering(self._tables.get, params, self._functions, self._rowids).query(parse_query(text))[0]
+            self._lowered[key] = Lowering(self._tables.get, params, self._functions, self._rowids, self._types, self._typed, self._extractors).query(parse_query(text))[0]
         return self._lowered[key]
 
     def sql(self, text: str, params: Any = None) -> DataFrame:
