@@ -22,7 +22,7 @@ def session(spark: SparkSession, sf_dir: str) -> Session:
     if key not in _sessions:
         found = Session(spark)
         for name in TABLES:
-            found.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), ROWIDS.get(name))
+            found.register(name, spark.read.parquet(f"{sf_dir}/{name}.parquet"), ROWIDS.get(name), ordered=True)
         _sessions[key] = found
     return _sessions[key]
 

@@ -9,6 +9,7 @@ from itertools import islice
 from typing import Any
 
 from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.errors import EngineError
@@ -33,11 +34,13 @@ class Session:
         self._types: dict[str, UserType] = {}
         self._typed: dict[str, dict[str, str]] = {}
         self._extractors: dict[str, Extractor] = {}
+        self._places: dict[str, tuple[str, ...]] = {}
 
-    def register(self, name: str, df: DataFrame, rowid: str | None = None, types: dict[str, str] | None = None) -> None:
+    def register(self, name: str, df: DataFrame, rowid: str | None = None, types: dict[str, str] | None = None, ordered: bool = False) -> None:
         """Make a DataFrame a table; names are lower-cased. rowid names its integer primary key, if it has one.
 
-        types names the columns that hold stored values of a user type.
+        types names the columns that hold stored values of a user type. ordered: the DataFrame reads Parquet files as they are,
+        and sums of its reals add in the order of the rows there where they can (hidden columns hold their places).
         """
         typed = {column.lower(): own.lower() for column, own in (types or {}).items()}
         for column, own in typed.items():
@@ -47,9 +50,14 @@ class Session:
         self._rowids.pop(name.lower(), None)
         if rowid:
             self._rowids[name.lower()] = rowid.lower()
-        view = f"tessera_{self._id}_{name.lower()}"
+        view, schema = f"tessera_{self._id}_{name.lower()}", df.schema
+        self._places.pop(name.lower(), None)
+        if ordered:
+            held = {"tessera_row": "row_index"} if len(df.inputFiles()) == 1 else {"tessera_file": "file_path", "tessera_row": "row_index"}
+            df = df.select("*", *(F.col(f"_metadata.{column}").alias(hidden) for hidden, column in held.items()))
+            self._places[name.lower()] = tuple(held)
         df.createOrReplaceTempView(view)
-        self._tables[name.lower()] = (f"`{view}`", df.schema)
+        self._tables[name.lower()] = (f"`{view}`", schema)
         self._lowered.clear()
 
     def drop(self, name: str) -> None:
@@ -85,7 +93,7 @@ class Session:
         if key not in self._lowered:
             if len(self._lowered) >= 256:
                 self._lowered.clear()
-            self._lowered[key] = Lowering(self._tables.get, params, self._functions, self._rowids, self._types, self._typed, self._extractors).query(parse_query(text))[0]
+            self._lowered[key] = Lowering(self._tables.get, params, self._functions, self._rowids, self._types, self._typed, self._extractors, self._places).query(parse_query(text))[0]
         return self._lowered[key]
 
     def sql(self, text: str, params: Any = None) -> DataFrame:
