@@ -16,6 +16,7 @@ from tessera.errors import EngineError
 from tessera.plans.lowering import Lowering, kind_of
 from tessera.plans.syntax import parse_query
 from tessera.plans.types import Extractor, UserType
+from tessera.sources.shared import row_group_rows
 
 
 #: The names of the dialect's own types.
@@ -35,6 +36,8 @@ class Session:
         self._typed: dict[str, dict[str, str]] = {}
         self._extractors: dict[str, Extractor] = {}
         self._places: dict[str, tuple[str, ...]] = {}
+        self._files: dict[str, list[str]] = {}
+        self._row_groups: dict[str, int] = {}
 
     def register(self, name: str, df: DataFrame, rowid: str | None = None, types: dict[str, str] | None = None, ordered: bool = False) -> None:
         """Make a DataFrame a table; names are lower-cased. rowid names its integer primary key, if it has one.
@@ -52,8 +55,10 @@ class Session:
             self._rowids[name.lower()] = rowid.lower()
         view, schema = f"tessera_{self._id}_{name.lower()}", df.schema
         self._places.pop(name.lower(), None)
+        self._row_groups.pop(name.lower(), None)
         if ordered:
-            held = {"tessera_row": "row_index"} if len(df.inputFiles()) == 1 else {"tessera_file": "file_path", "tessera_row": "row_index"}
+            self._files[name.lower()] = df.inputFiles()
+            held = {"tessera_row": "row_index"} if len(self._files[name.lower()]) == 1 else {"tessera_file": "file_path", "tessera_row": "row_index"}
             df = df.select("*", *(F.col(f"_metadata.{column}").alias(hidden) for hidden, column in held.items()))
             self._places[name.lower()] = tuple(held)
         df.createOrReplaceTempView(view)
@@ -87,13 +92,22 @@ class Session:
         self._extractors[own.name] = own
         self._lowered.clear()
 
+    def row_groups(self, name: str) -> int:
+        """The rows of a row group in the files of an ordered table; 0 if each has one only or they are not of one size.
+
+        The driver reads the footer of each file once, and only for queries whose sums depend on it.
+        """
+        if name not in self._row_groups:
+            self._row_groups[name] = row_group_rows(self.spark, self._files[name])
+        return self._row_groups[name]
+
     def lower(self, text: str, params: Any = None) -> str:
         """The Spark SQL that a query becomes; remembered for the same text and parameters."""
         key = (text, repr(params))
         if key not in self._lowered:
             if len(self._lowered) >= 256:
                 self._lowered.clear()
-            self._lowered[key] = Lowering(self._tables.get, params, self._functions, self._rowids, self._types, self._typed, self._extractors, self._places).query(parse_query(text))[0]
+            self._lowered[key] = Lowering(self._tables.get, params, self._functions, self._rowids, self._types, self._typed, self._extractors, self._places, self.row_groups).query(parse_query(text))[0]
         return self._lowered[key]
 
     def sql(self, text: str, params: Any = None) -> DataFrame:

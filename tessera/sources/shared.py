@@ -1,4 +1,4 @@
-"""Intermediate tables in the folder that driver and executors share."""
+"""Intermediate tables in the folder that driver and executors share, and the layout of Parquet files."""
 
 from __future__ import annotations
 
@@ -33,3 +33,20 @@ def staged(df: DataFrame) -> DataFrame:
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def row_group_rows(spark: SparkSession, files: list[str]) -> int:
+    """The rows of a row group in Parquet files (the last of each file may be smaller); 0 if there is no one size."""
+    jvm = spark.sparkContext._jvm
+    parquet, conf = jvm.org.apache.parquet.hadoop, spark.sparkContext._jsc.hadoopConfiguration()
+    sizes, last = set(), 0
+    for file in files:
+        path = jvm.org.apache.hadoop.fs.Path(jvm.java.net.URI(file))
+        reader = parquet.ParquetFileReader.open(parquet.util.HadoopInputFile.fromPath(path, conf))
+        try:
+            rows = [block.getRowCount() for block in reader.getFooter().getBlocks()]
+        finally:
+            reader.close()
+        sizes.update(rows[:-1])
+        last = max(last, *rows[-1:], 0)
+    return sizes.pop() if len(sizes) == 1 and last <= min(sizes) else 0
